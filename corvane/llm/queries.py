@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, decontam, simhash, toxicity
+from corvane.llm import bpe, decontam, simhash, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.groups(_table(spark, sf_dir, "documents"))
 
 
+def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.repeated(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -31,9 +35,29 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_suffixes": op2_suffixes,
     "op5_toxicity": op5_toxicity,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: Windows of 50 words, those that occur again, and the runs of words that they cover.
+_OP2 = r"""
+with words as (
+  select distinct doc_id::bigint as doc_id, text, list_filter(regexp_split_to_array(text, '[ \t\n\r\x0b\x0c]+'), lambda x: x <> '') as w
+  from documents where doc_id is not null and text is not null
+), windows as (
+  select doc_id, text, s - 1 as s, array_to_string(w[s : s + 49], ' ') as passage
+  from (select doc_id, text, w, unnest(range(1, len(w) - 48)) as s from words)
+), again as (
+  select *, row_number() over (partition by passage order by doc_id, s) > 1 as extra from windows
+  qualify count(*) over (partition by passage) > 1
+), marked as (
+  select *, coalesce(s > lag(s) over (partition by doc_id, text, extra order by s) + 50, true)::int as new from again
+), runs as (
+  select *, sum(new) over (partition by doc_id, text, extra order by s) as run from marked
+)
+select doc_id, min(s)::integer as start_word, (max(s) + 50)::integer as end_word, extra from runs group by doc_id, text, extra, run
+"""
+
+ORACLE_SQL: dict[str, str] = {"op2_suffixes": _OP2}
