@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm import bpe, decontam, simhash, suffixes, toxicity
+from corvane.llm import bpe, decontam, secrets, simhash, suffixes, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def op2_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixes.repeated(_table(spark, sf_dir, "documents"))
 
 
+def op3_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.findings(_table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -36,6 +40,7 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_suffixes": op2_suffixes,
+    "op3_secrets": op3_secrets,
     "op5_toxicity": op5_toxicity,
     "op7_bpe": op7_bpe,
     "op8_decontamination": op8_decontamination,
@@ -60,4 +65,21 @@ with words as (
 select doc_id, min(s)::integer as start_word, (max(s) + 50)::integer as end_word, extra from runs group by doc_id, text, extra, run
 """
 
-ORACLE_SQL: dict[str, str] = {"op2_suffixes": _OP2}
+
+
+def _secrets_sql() -> str:
+    """Matches of each rule, and their places from the lengths of what lies between them."""
+    each = " union all ".join(f"select doc_id, text, '{n}' as rule, regexp_extract_all(text, '{q}') as m, regexp_split_to_array(text, '{q}') as gap from documents where regexp_matches(text, '{q}')" for n, q in ((n, p.replace("'", "''")) for n, p in secrets.RULES.items()))
+    return f"""
+with found as ({each}),
+spread as (select doc_id, rule, m, gap, unnest(range(1, len(m) + 1)) as i from found),
+placed as (
+  select doc_id, rule, m[i] as secret,
+    list_sum(list_transform(gap[1 : i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1 : i - 1], lambda x: length(x))), 0) as start
+  from spread
+)
+select doc_id::bigint as doc_id, rule, start::integer as start_char, (start + length(secret))::integer as end_char, sha256(secret) as sha256 from placed
+"""
+
+
+ORACLE_SQL: dict[str, str] = {"op2_suffixes": _OP2, "op3_secrets": _secrets_sql()}
