@@ -357,6 +357,17 @@ class Encoder:
         return np.array([np.array_equal(back[sizes[i] : sizes[i + 1]], data[offsets[i] : offsets[i + 1]]) for i in range(len(offsets) - 1)])
 
 
+_encoders: dict[str, Encoder] = {}
+
+
+def shared_encoder(name: str, words: Vocabulary) -> Encoder:
+    """One encoder a worker process and vocabulary, so that its cache outlives a task."""
+    if name not in _encoders or len(_encoders[name].vocabulary.length) != len(words.length):
+        _encoders.clear()
+        _encoders[name] = Encoder(words)
+    return _encoders[name]
+
+
 def encode(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(doc_id, n_tokens, token_ids, token_ends, round_trip), one row for each row of docs.
 
@@ -368,7 +379,7 @@ def encode(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     words = Vocabulary.load(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(words)
+        encoder = shared_encoder(vocabulary, words)
         for batch in batches:
             for piece in pieces(batch):
                 text = piece.column(1)

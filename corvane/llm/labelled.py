@@ -5,21 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Characters of a text beyond which it isn't taken into a sample.
+SAMPLE_CHARS = 200_000
 
-def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, columns: list[str], chars: int) -> list[tuple]:
+
+def sample(docs: DataFrame, labels: DataFrame, label: str, per_class: int, columns: list[str], chars: int = SAMPLE_CHARS) -> list[tuple]:
     """[(label, doc_id, *columns)] of at most ``per_class`` documents of each class.
 
     Which ones: those with the lowest hash of doc_id, so the choice depends neither on
-    partitions nor on order. ``chars`` bounds what is read of one sampled text. Rows
-    whose label, id or text is null, or label neither 0 nor 1, are left out; ids with
-    contradicting labels too."""
+    partitions nor on order. Sampled texts are read whole; one of more than ``chars``
+    characters isn't used, so that the sample fits the driver. Rows whose label, id or
+    text is null, or label neither 0 nor 1, are left out; ids with contradicting labels
+    too."""
     known = labels.select(labels["doc_id"].cast("long").alias("doc_id"), labels[label].cast("int").alias("label")).where("doc_id is not null and label in (0, 1)").groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("high")).where("label = high").select("doc_id", "label")
     picked = None
     for value in (0, 1):
         some = known.where(F.col("label") == value).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
         picked = some if picked is None else picked.union(some)
-    text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *[F.substring(docs[c], 1, chars).alias(c) if c == "text" else docs[c] for c in columns])
-    rows = text.where("text is not null").join(F.broadcast(picked), "doc_id").select("label", "doc_id", *columns).collect()
+    text = docs.select(docs["doc_id"].cast("long").alias("doc_id"), *[docs[c] for c in columns])
+    rows = text.where(F.length("text") <= chars).join(F.broadcast(picked), "doc_id").select("label", "doc_id", *columns).collect()
     seen, out = set(), []
     for row in sorted((tuple(r) for r in rows), key=lambda r: (r[1], *map(str, r[2:]))):
         if row[1] not in seen:
