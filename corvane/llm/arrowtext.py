@@ -16,6 +16,7 @@ import pyarrow as pa
 
 U64 = np.uint64
 PIECE_BYTES = 2 << 20
+HASH_BYTES = 1 << 18
 
 
 def arrow_batches(spark, records: int = 2000) -> None:
@@ -133,7 +134,15 @@ class Words:
         return np.repeat(np.arange(len(self.count)), self.count)
 
     def hashes(self, data: np.ndarray) -> np.ndarray:
-        return Rolling(_BYTE[data]).ranges(self.start, self.end)
+        """Hash of each word; some bytes at a time, which stay in the cache."""
+        out = np.empty(len(self), np.uint64)
+        first = 0
+        while first < len(self):
+            base = self.start[first]
+            last = max(first + 1, int(np.searchsorted(self.end, base + HASH_BYTES, "right")))
+            out[first:last] = Rolling(_BYTE[data[base : self.end[last - 1]]]).ranges(self.start[first:last] - base, self.end[first:last] - base)
+            first = last
+        return out
 
 
 def windows(words: Words, hashes: np.ndarray, size: int, short: bool = True) -> tuple[np.ndarray, np.ndarray]:
