@@ -140,7 +140,7 @@ class BlobStore:
         elif keys is not None:
             out = out.where(F.col("key").isin(sorted(keys)))
         if kind == "ARR":
-            out = out.select("key", "labels", F.split("value", "\0").alias("v")).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.transform("v", F.trim), lambda x: x != ""))))).alias("value"))
+            out = out.select("key", "labels", F.split("value", "\0").alias("v")).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.transform("v", lambda x: F.trim(x)), lambda x: x != ""))))).alias("value"))
         else:
             out = ix.latest(out.drop("dataset"), ["key"], ["ts"])
             if kind == "JSO":
