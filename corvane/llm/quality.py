@@ -178,7 +178,10 @@ def fit(rows: list[tuple], seed: int = 11) -> Machine | None:
     label = np.array([r[0] for r in rows], np.float32)
     if not len(rows) or label.min() == label.max():
         return None
-    f = features(pa.array([r[2] for r in rows], pa.string()), [pa.array([r[3 + k] for r in rows], pa.string()) for k in range(len(META))])
+    columns = [pa.array([r[k] for r in rows], pa.string()) for k in range(2, 3 + len(META))]
+    # some texts at a time, as the driver is small
+    parts = [features(p.column(0), p.columns[1:]) for p in pieces(pa.RecordBatch.from_arrays(columns, ["text", *META]))]
+    f = Features(np.concatenate([p.index.astype(np.int32) for p in parts]), np.concatenate([p.value for p in parts]), np.append(0, np.cumsum(np.concatenate([np.diff(p.first) for p in parts]))))
     away = np.array([held_out(r[1]) for r in rows])
     if min((label[~away] == 1).sum(), (label[~away] == 0).sum()) == 0:
         away[:] = False
