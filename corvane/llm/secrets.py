@@ -40,6 +40,18 @@ RULES: dict[str, str] = {
     "bot_token": r"\b[0-9]{8,10}:[0-9A-Za-z_-]{35}\b",
 }
 
+_NEWLINE = r"[ \t]*(?:\r?\n|\\r\\n|\\n)+[ \t>\"'#*]*+"
+_LINE_END = r"(?=[ \t]*(?:[\r\n\\\"']|\Z))"
+#: A key's block: up to its END line, or if that is missing its headers and lines of base64.
+_KEY_BLOCK = (
+    RULES["private_key"]
+    + r"(?:(?:(?!-----BEGIN )[\s\S])*?-----END (?:[A-Z0-9]{1,10} ){0,2}PRIVATE KEY(?: BLOCK)?-----"
+    + rf"|(?:{_NEWLINE}[A-Za-z][0-9A-Za-z-]*: [^\r\n\\]*)*(?:{_NEWLINE}[0-9A-Za-z+/=]{{16,}}{_LINE_END})+(?:{_NEWLINE}[0-9A-Za-z+/=]+{_LINE_END})?"
+    + rf"|{_NEWLINE}[0-9A-Za-z+/=]+(?=\s*\Z)|[ \t]+[0-9A-Za-z+/=]{{40,}}(?:[ \t]+[0-9A-Za-z+/=]{{16,}})*)?"
+)
+#: What is scanned for: RULES, as their SQL states them, with whole key blocks.
+SCANNED = RULES | {"private_key": _KEY_BLOCK}
+
 #: Strings of one regex part that are kept apart; beyond, its trigrams are taken and its ends kept.
 SETS = 64
 
@@ -209,7 +221,7 @@ class Scanner:
                 yield int(i), sorted(found)
 
 
-def findings(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
+def findings(docs: DataFrame, rules: dict[str, str] = SCANNED) -> DataFrame:
     """(doc_id, rule, start_char, end_char, sha256), one row a match of a rule; the secret
     itself is only given by its hash.
 
@@ -239,7 +251,7 @@ def redacted(text: str, found: list[tuple[int, int, str, str]]) -> str:
     return "".join([*out, text[done:]])
 
 
-def redact(docs: DataFrame, rules: dict[str, str] = RULES) -> DataFrame:
+def redact(docs: DataFrame, rules: dict[str, str] = SCANNED) -> DataFrame:
     """docs with ``[rule]`` in place of every secret. All rows stay, texts without secrets as
     they are, null texts too. A column n_chars gets the new length where the text has
     changed; other columns are left alone."""

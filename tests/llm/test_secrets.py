@@ -92,6 +92,27 @@ def test_redact(spark):
     assert S.redacted("abcdef", [(0, 3, "p", ""), (2, 5, "q", "")]) == "[p]f"
 
 
+KEY = "\n".join(["-----BEGIN RSA PRIVATE KEY-----", *[HEX] * 5, HEX[:30] + "==", "-----END RSA PRIVATE KEY-----"])
+
+
+def test_whole_key_blocks(spark):
+    other = KEY.replace("0123", "abcd")
+    pgp = f"-----BEGIN PGP PRIVATE KEY BLOCK-----\nVersion: 1\n\n{HEX}\n=aB3d\n-----END PGP PRIVATE KEY BLOCK-----"
+    cut = KEY[: KEY.index("-----END")].strip()
+    locked = cut.replace("KEY-----", "KEY-----\nProc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0011\n", 1)
+    blocks = [KEY, other, pgp, cut, locked, cut[:38], KEY.replace("\n", "\r\n"), KEY.replace("\n", "\\n"), KEY.replace("\n", " "), cut.replace("\n", " ")]
+    rows = [(i, f"é before\n{b}\nAfter it, text." if b != cut[:38] else f"é before\n{b}", "r", 1) for i, b in enumerate(blocks)]
+    docs = spark.createDataFrame([*rows, (50, f"{cut}\n\n{other}\nand -----BEGIN RSA PRIVATE KEY----- alone", "r", 1)], SCHEMA)
+    got = {(r.doc_id, r.start_char): r for r in S.findings(docs).where("rule = 'private_key'").collect()}
+    assert {k for k in got if k[0] < 50} == {(i, 9) for i in range(len(blocks))}
+    for i, b in enumerate(blocks):
+        assert got[i, 9].end_char == 9 + len(b) and got[i, 9].sha256 == S.hashlib.sha256(b.encode()).hexdigest(), b
+    clean = {r.doc_id: r.text for r in S.redact(docs).collect()}
+    assert all(clean[i] == ("é before\n[private_key]\nAfter it, text." if b != cut[:38] else "é before\n[private_key]") for i, b in enumerate(blocks))
+    assert clean[50] == "[private_key]\n\n[private_key]\nand [private_key] alone"
+    assert {n for n, p in S.SCANNED.items() if S.query_of(p) is True} == {"bot_token"}
+
+
 def test_sf_table_equals_sql(spark):
     import duckdb
     from corvane.llm import queries
