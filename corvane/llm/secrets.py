@@ -24,6 +24,9 @@ from pyspark.sql import DataFrame
 
 from corvane.llm.arrowtext import _FOLD, arrow_batches, pieces, utf8
 
+#: A value without quotes: at least 16 characters, one of them a digit, or any word in prose would do.
+_BARE = "(?:" + "|".join(rf"[A-Za-z_+~-][A-Za-z_./+~-]{{{i - 1}}}[0-9][0-9A-Za-z_./+=~-]{{{15 - i},}}" if i else r"[0-9][0-9A-Za-z_./+=~-]{15,}" for i in range(16)) + r"|[A-Za-z_+~-][A-Za-z_./+~-]{15,}[0-9][0-9A-Za-z_./+=~-]*)"
+
 #: Rules in the syntax that Python's re and RE2 share.
 RULES: dict[str, str] = {
     "aws_access_key": r"\b(?:AKIA|ASIA)[0-9A-Z]{16}\b",
@@ -35,8 +38,8 @@ RULES: dict[str, str] = {
     "npm_token": r"\bnpm_[0-9A-Za-z]{36}\b",
     "private_key": r"-----BEGIN (?:[A-Z0-9]{1,10} ){0,2}PRIVATE KEY(?: BLOCK)?-----",
     "jwt": r"\beyJ[0-9A-Za-z_-]{8,}\.eyJ[0-9A-Za-z_-]{8,}\.[0-9A-Za-z_-]{8,}",
-    "url_password": r"\b[A-Za-z][0-9A-Za-z+.-]{1,20}://[^\s/:@\"'<>]{1,64}:[^\s/@\"'<>]{3,64}@[0-9A-Za-z.-]+",
-    "assigned_secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]{0,4}(?::=|=|:)[ \t]{0,4}[\"'][0-9A-Za-z_./+=~-]{16,}[\"']",
+    "url_password": r"\b[A-Za-z][0-9A-Za-z+.-]{1,20}://[^\s/:@\"'<>]*:[^\s/@\"'<>]{3,}@[0-9A-Za-z.-]+",
+    "assigned_secret": r"(?i:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[\"']?[ \t]*(?::=|=|:)[ \t]*(?:[\"'][0-9A-Za-z_./+=~-]{16,}[\"']|" + _BARE + ")",
     "bot_token": r"\b[0-9]{8,10}:[0-9A-Za-z_-]{35}\b",
 }
 

@@ -40,6 +40,28 @@ def test_samples_are_found_and_near_misses_are_not():
     assert not list(scanner.scan(pa.array(["token of love", "AKIA short", "http://example.com/a:b", "1234567890", "ghp_", HEX, "password: hunter2"])))
 
 
+@pytest.mark.parametrize(
+    "rule, text",
+    [
+        ("assigned_secret", "API_KEY=0123456789abcdef0123456789"),
+        ("assigned_secret", "token: 0123456789abcdef01234567"),
+        ("assigned_secret", "access_key = wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY"),
+        ("assigned_secret", "secret:        'abcdefghijklmnopqrstuvwx'"),
+        ("assigned_secret", "password=abcdefghijklmnopqrstuvwxyz1"),
+        ("url_password", f"https://oauth2:{HEX}{HEX}@h.com"),
+        ("url_password", "redis://:hunter2@h.com"),
+    ],
+)
+def test_values_without_quotes_and_urls_without_users(rule, text):
+    [(_, found)] = S.Scanner(S.RULES).scan(pa.array([f"é {text}\nnext"]))
+    [own] = [f for f in found if f[2] == rule]
+    assert own[3] == text and own[1] == 2 + len(text)
+
+
+def test_assignments_of_words_are_no_secrets():
+    assert not list(S.Scanner(S.RULES).scan(pa.array(["token: internationalisation of it", "secret: 1234", "password = /usr/local/share/a1/long/path", "https://h.com:8080/x@y"])))
+
+
 def test_queries():
     assert S.query_of("abcd") == ("and", frozenset([b"abc", b"bcd"]))
     assert S.query_of("(?i:ABC)|xyz") == ("or", frozenset([b"abc", b"xyz"]))
