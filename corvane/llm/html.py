@@ -16,7 +16,7 @@ from __future__ import annotations
 import html
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,6 +51,8 @@ class Page:
         self.nodes: list[tuple[int, str, bool]] = []
         kids: dict[tuple[int, str], int] = {}
         names: list[str] = []
+        # depths at which each name is open, so that no tag looks through the open elements
+        open_at: dict[str, list[int]] = {}
         path = [0]
         at, size, broken = 0, len(source), True
 
@@ -62,6 +64,14 @@ class Page:
                     self.nodes.append((path[-1], html.unescape(text) if "&" in text else text, broken))
                     broken = False
 
+        def close(depth: int) -> None:
+            for gone in names[depth:]:
+                open_at[gone].pop()
+            del names[depth:], path[depth + 1 :]
+
+        def deepest(of: Iterable[str]) -> int:
+            return max((open_at[n][-1] for n in of if open_at.get(n)), default=-1)
+
         while match := _TOKEN.search(source, at):
             take(match.start())
             at = match.end()
@@ -73,10 +83,8 @@ class Page:
             if name not in _INLINE:
                 broken = True
             if closing:
-                if name in names:
-                    while names.pop() != name:
-                        path.pop()
-                    path.pop()
+                if open_at.get(name):
+                    close(open_at[name][-1])
                 continue
             if name in _VOID:
                 continue
@@ -85,18 +93,14 @@ class Page:
                 at = end.end() if end else size
                 continue
             shut, within = ({"p"}, _HOLDS) if name in _BLOCK else _CLOSES.get(name, ((), ()))
-            if shut:
-                for depth in range(len(names) - 1, -1, -1):
-                    if names[depth] in shut:
-                        del names[depth:], path[depth + 1 :]
-                        break
-                    if names[depth] in within:
-                        break
+            if shut and (depth := deepest(shut)) > -1 and depth > deepest(within):
+                close(depth)
             key = (path[-1], name)
             if key not in kids:
                 kids[key] = len(self.parent)
                 self.parent.append(path[-1])
                 self.inline.append(name in _INLINE)
+            open_at.setdefault(name, []).append(len(names))
             names.append(name)
             path.append(kids[key])
         take(size)
@@ -165,7 +169,8 @@ def extract(pages: DataFrame, decay: float = DECAY, strict: float = LAMBDA) -> D
     A null html has a null text and 0 paths; an empty page, or one without text, an empty
     text. Text without any tag is one path and content. Null ids stay null, repeated rows
     have a row each, other columns are not looked at. Broken markup is read on as far as
-    it goes: what is never closed ends with its container or the page."""
+    it goes: what is never closed ends with its container or the page, and an end tag that
+    nothing open has is passed over. The time is linear in the page, whatever is unmatched."""
     arrow_batches(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

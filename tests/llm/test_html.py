@@ -1,6 +1,9 @@
+import math
 import random
 import re
+import statistics
 from collections import Counter
+from html.parser import HTMLParser
 
 import pytest
 from corvane.llm import html as X
@@ -69,6 +72,132 @@ def test_deep_and_long_pages_take_linear_time():
     assert len(X.content("<p>word, </p>" * 50_000)[0].split("\n")) == 50_000
 
 
+def test_unmatched_tags_take_linear_time():
+    import time
+
+    def seconds(source):
+        start = time.process_time()
+        X.content(source)
+        return time.process_time() - start
+
+    for unit in ("<b></i>", "<h1>", "<b></p>x", "<p><button><i>", "</div>", "<li></ul>"):
+        assert seconds(unit * 60_000) < 5, unit
+    assert seconds("<p><button>" + "<i>" * 60_000 + "<h1>" * 60_000) < 5
+
+
+class Naive(HTMLParser):
+    """Text nodes by the names of their path, with lists that are looked through."""
+
+    def __init__(self, source):
+        super().__init__(convert_charrefs=False)
+        self.names, self.nodes, self.text, self.broken, self.raw = [], [], "", True, None
+        self.feed(source)
+        self.close()
+        self.flush()
+
+    def flush(self):
+        if self.text and not self.text.isspace():
+            self.nodes.append((tuple(self.names), X.html.unescape(self.text), self.broken))
+            self.broken = False
+        self.text = ""
+
+    def handle_starttag(self, tag, attrs):
+        self.flush()
+        self.broken |= tag not in X._INLINE
+        if self.raw or tag in X._VOID:
+            return
+        if tag in X._RAW:
+            self.raw = tag
+            return
+        shut, within = ({"p"}, X._HOLDS) if tag in X._BLOCK else X._CLOSES.get(tag, ((), ()))
+        for i in reversed(range(len(self.names))):
+            if self.names[i] in shut:
+                del self.names[i:]
+                break
+            if self.names[i] in within:
+                break
+        self.names.append(tag)
+
+    def handle_endtag(self, tag):
+        self.flush()
+        self.broken |= tag not in X._INLINE
+        if self.raw == tag:
+            self.raw = None
+        elif tag in self.names:
+            while self.names.pop() != tag:
+                pass
+
+    def handle_comment(self, data):
+        self.flush()
+
+    handle_decl = unknown_decl = handle_pi = handle_comment
+
+    def handle_data(self, data):
+        self.text += "" if self.raw else data
+
+    def handle_entityref(self, name):
+        self.handle_data(f"&{name};")
+
+    def handle_charref(self, name):
+        self.handle_data(f"&#{name};")
+
+
+def brute_content(source):
+    """The same by its definition: all pairs of paths, statistics one character at a time."""
+    nodes = Naive(source).nodes
+    if not nodes:
+        return "", 0, 0
+    chars, marks = {}, {}
+    for path, text, _ in nodes:
+        chars.setdefault(path, []).append(len(" ".join(text.split())))
+        marks.setdefault(path, []).append(sum(c in ".,;:!?…。、，；：！？«»„“”" for c in text))
+
+    def apart(a, b):
+        common = 0
+        while common < min(len(a), len(b)) and a[common] == b[common]:
+            common += 1
+        return len(a) + len(b) - 2 * common
+
+    def smooth(of, at):
+        weight = {p: X.DECAY ** apart(p, at) for p in of}
+        return sum(weight[p] * statistics.fmean(of[p]) for p in of) / sum(weight.values())
+
+    every = {path[:i] for path in chars for i in range(len(path) + 1)}
+    plain = not any(map(any, marks.values()))
+    fused = {p: math.sqrt(smooth(chars, p) * (1 if plain else smooth(marks, p))) for p in every}
+    deviation = statistics.pstdev([fused[p] for p in chars for n in chars[p] for _ in range(n)])
+    least = min(X.LAMBDA * deviation, max(fused[p] for p in chars)) * (1 - 1e-12)
+    good = {p for p in chars if fused[p] >= least}
+
+    def inside(path):
+        return path in good or bool(path) and path[-1] in X._INLINE and inside(path[:-1])
+
+    lines, broken = [[]], False
+    for path, text, first in nodes:
+        broken |= first
+        if inside(path):
+            if broken:
+                lines.append([])
+            lines[-1].append(re.sub(r"\s+", " ", text))
+            broken = False
+    lines = [re.sub(r"\s+", " ", "".join(line)).strip() for line in lines]
+    return "\n".join(line for line in lines if line), len(chars), sum(inside(p) for p in chars)
+
+
+def test_content_equals_brute_force(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect()]
+    for source in [*pages, NAV + BODY, BODY, NAV, "just text", "x &amp; y."]:
+        assert X.content(source) == brute_content(source)
+
+
+def test_query_is_content_of_every_page(spark):
+    from corvane.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    got = Counter(tuple(r) for r in queries.QUERIES["op10_html"](spark, sf).collect())
+    assert got == Counter((r.page_id, *brute_content(r.html)) for r in spark.read.parquet(f"{sf}/pages.parquet").collect())
+
+
 def test_extract(spark):
     rows = [(1, BODY, "t", 1), (None, "<p>Null id.</p>", None, None), (2, None, "t", 1), (3, "", "t", 1), (1, BODY, "t", 1)]
     got = X.extract(spark.createDataFrame(rows, SCHEMA)).collect()
