@@ -18,6 +18,7 @@ collision of 64-bit hashes) is encoded once more without the cache.
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 import unicodedata
 from collections.abc import Iterator
@@ -137,6 +138,8 @@ class Vocabulary:
     """Byte-level merges by rank, as arrays."""
 
     def __init__(self, ranks: dict[bytes, int]):
+        #: Tells apart vocabularies that have one name.
+        self.digest = hashlib.sha256(b"".join(b"%d %b\n" % (r, t.hex().encode()) for t, r in sorted(ranks.items()))).hexdigest()
         size = max(ranks.values()) + 1
         tokens = [b""] * size
         for token, rank in ranks.items():
@@ -360,12 +363,12 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def shared_encoder(name: str, words: Vocabulary) -> Encoder:
+def shared_encoder(words: Vocabulary) -> Encoder:
     """One encoder a worker process and vocabulary, so that its cache outlives a task."""
-    if name not in _encoders or len(_encoders[name].vocabulary.length) != len(words.length):
+    if words.digest not in _encoders:
         _encoders.clear()
-        _encoders[name] = Encoder(words)
-    return _encoders[name]
+        _encoders[words.digest] = Encoder(words)
+    return _encoders[words.digest]
 
 
 def encode(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
@@ -379,7 +382,7 @@ def encode(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     words = Vocabulary.load(vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = shared_encoder(vocabulary, words)
+        encoder = shared_encoder(words)
         for batch in batches:
             for piece in pieces(batch):
                 text = piece.column(1)

@@ -56,6 +56,64 @@ def test_empty_and_wrong(spark, tmp_path):
             tokens.write(empty, str(tmp_path / "w"), **wrong)
 
 
+def brute(path, ids):
+    """{doc_id: rows} of some ids and the files that hold them, by reading every file whole."""
+    rows, files = {}, {}
+    for f in glob.glob(f"{path}/*.parquet"):
+        for r in pq.ParquetFile(f).read().to_pylist():
+            if r["doc_id"] in ids:
+                rows.setdefault(r["doc_id"], []).append((r["n_tokens"], r["token_ids"], r["token_ends"]))
+                files.setdefault(r["doc_id"], set()).add(f)
+    return rows, files
+
+
+def test_query_is_every_token_and_a_lookup_opens_one_file(spark, tmp_path):
+    import tiktoken
+    import tiktoken.load
+    from corvane.llm import queries
+
+    sf = "/root/testdata/sf0.001"
+    ranks = tiktoken.load.load_tiktoken_bpe(bpe.DEFAULT_VOCABULARY)
+    known = tiktoken.Encoding("b", pat_str=r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+""", mergeable_ranks=ranks, special_tokens={})
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = {r.doc_id: (r.n_tokens, r.token_ids, r.token_ends) for r in queries.QUERIES["op9_tokens"](spark, sf).collect()}
+    assert got.keys() == texts.keys()
+    for i, text in texts.items():
+        ids = known.encode_ordinary(text)
+        ends, at = [], 0
+        for t in ids:
+            at += len(known.decode_single_token_bytes(t))
+            ends.append(at)
+        assert got[i] == (len(ids), ids, ends)
+
+    path = str(tmp_path / "r")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(7)
+        stored = tokens.output(docs, path=path)
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(glob.glob(f"{path}/*.parquet")) > 1
+    ids = sorted(texts)[::9]
+    rows, files = brute(path, set(ids))
+    assert all(len(f) == 1 for f in files.values())
+    for i in ids:
+        assert [tuple(r) for r in tokens.read(spark, path, ["n_tokens", "token_ids", "token_ends"], F.col("doc_id") == i).collect()] == rows[i]
+    assert stored.columns == ["doc_id", "n_tokens", "token_ids", "token_ends"]
+    tokens.remove(spark, path)
+    assert not glob.glob(path)
+
+
+def test_one_doc_id_may_be_several_ranges(spark):
+    docs = spark.range(4000).selectExpr("if(id % 3 = 0, id, 7) as doc_id", "concat('text ', id) as text")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        sizes = [r[0] for r in tokens.by_id(docs).groupBy(F.spark_partition_id()).count().select("count").collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sum(sizes) == 4000 and max(sizes) < 2000
+
+
 def test_output_decodes_to_the_texts(spark, tmp_path):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     stored = tokens.output(docs, path=str(tmp_path / "o"))
