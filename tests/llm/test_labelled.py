@@ -1,0 +1,41 @@
+import pytest
+from corvane.llm import labelled
+from pyspark.sql import functions as F
+
+SCHEMA = "doc_id long, text string, lang string"
+
+
+def brute(spark, docs, labels, per_class, chars=labelled.SAMPLE_CHARS):
+    """Lowest hashes among the labelled documents that are there and fit."""
+    rank = {r.doc_id: (r.h, r.doc_id) for r in labels.select("doc_id", F.xxhash64("doc_id").alias("h")).collect()}
+    kinds = {}
+    for r in labels.collect():
+        if r.doc_id is not None and r.toxic in (0, 1):
+            kinds.setdefault(r.doc_id, set()).add(r.toxic)
+    rows = {}
+    for r in docs.collect():
+        if len(kinds.get(r.doc_id, ())) == 1 and r.text is not None and len(r.text) <= chars:
+            rows[r.doc_id] = min(rows.get(r.doc_id, (r.text, r.lang)), (r.text, r.lang))
+    out = []
+    for y in (0, 1):
+        ids = sorted((i for i in rows if kinds[i] == {y}), key=rank.get)[:per_class]
+        out += [(y, i, *rows[i]) for i in ids]
+    return sorted(out, key=lambda r: r[1])
+
+
+@pytest.mark.parametrize("kept", [1.0, 0.2, 0.01])
+def test_labels_that_docs_lack_do_not_shrink_the_sample(spark, kept):
+    labels = spark.createDataFrame([(i, int(i % 7 == 0)) for i in range(4000)] + [(None, 1), (3, None), (5, 1), (5, 0), (9, 4)], "doc_id long, toxic int")
+    rows = [(i, f"text {i}" + "x" * (300 if i % 5 == 0 else 0), "en") for i in range(4000) if (i * 7919 % 1000) < 1000 * kept]
+    docs = spark.createDataFrame([*rows, (rows[1][0], "another", "de"), (None, "n", "en"), (rows[2][0], None, "en")], SCHEMA)
+    got = labelled.sample(docs, labels, "toxic", 20, ["text", "lang"], chars=200)
+    assert got == brute(spark, docs, labels, 20, 200)
+    if kept > 0.1:
+        assert sum(r[0] for r in got) == 20 and len(got) == 40
+
+
+def test_nothing_to_sample(spark):
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    docs = spark.createDataFrame([(2, "a", "en")], SCHEMA)
+    assert labelled.sample(docs, labels, "toxic", 5, ["text"]) == []
+    assert labelled.sample(docs.limit(0), labels.limit(0), "toxic", 5, ["text"]) == []
