@@ -9,6 +9,7 @@ than the limit is a piece of its own, so texts of any length are processed whole
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 
 import numpy as np
@@ -86,20 +87,63 @@ class Rolling:
         return mix((self._sum[end] - self._sum[start]) * self._down[start] + (end - start).astype(np.uint64) * U64(0xD6E8FEB86659FD93))
 
 
-_WORD = np.zeros(256, bool)
-_WORD[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
-_SOLID = np.ones(256, bool)
-_SOLID[[9, 10, 11, 12, 13, 32]] = False
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
+#: Lower case of the code points of two bytes, where it has two bytes as well.
+_LOWER = np.array([ord(low) if len(low := chr(c).lower()) == 1 and 128 <= ord(low) < 2048 else c for c in range(2048)], np.uint16)
+
+#: Scripts without spaces between words: each of their characters is a word.
+SINGLES = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3100, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
+SPACES = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
+LETTER, SINGLE, SOLID = 1, 2, 4
+_kinds: np.ndarray | None = None
+
+
+def kinds() -> np.ndarray:
+    """LETTER (letters, marks, digits), SINGLE and SOLID (no white space) of each code point; made once a process."""
+    global _kinds
+    if _kinds is None:
+        out = np.fromiter((LETTER * (unicodedata.category(chr(c)) in _LETTERS) for c in range(0x110000)), np.uint8, 0x110000)
+        # joiners stand inside words
+        out[[0x200C, 0x200D]] = LETTER
+        out[:128] = 0
+        out[[*range(48, 58), *range(65, 91), *range(97, 123)]] = LETTER
+        out |= SOLID
+        for low, high in SINGLES:
+            out[low : high + 1] |= SINGLE
+        for low, high in SPACES:
+            out[low : high + 1] = 0
+        _kinds = out
+    return _kinds
+
+
+_LETTERS = frozenset("Lu Ll Lt Lm Lo Mn Mc Me Nd Nl No Cn Co".split())
+_ASCII = np.zeros(256, np.uint8)
+_ASCII[:128] = SOLID
+_ASCII[[*range(9, 14), 32]] = 0
+_ASCII[[*range(48, 58), *range(65, 91), *range(97, 123)]] = LETTER | SOLID
+
+
+def points(data: np.ndarray, lead: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(code points, their numbers of bytes) of the UTF-8 sequences that begin at ``lead``, bytes from 192 on."""
+    first = data[lead].astype(np.int32)
+    size = 2 + (first >= 0xE0) + (first >= 0xF0)
+    last = len(data) - 1
+    two, three, four = (data[np.minimum(lead + i, last)].astype(np.int32) & 0x3F for i in (1, 2, 3))
+    out = np.where(size == 2, (first & 0x1F) << 6 | two, np.where(size == 3, (first & 0x0F) << 12 | two << 6 | three, (first & 0x07) << 18 | two << 12 | three << 6 | four))
+    return np.minimum(out, 0x10FFFF), size
 
 
 def fold(data: np.ndarray) -> np.ndarray:
-    """Lower case for ASCII and Latin-1 letters in UTF-8; other bytes stay."""
+    """Lower case of the letters that ASCII and two bytes of UTF-8 hold (Latin, Greek, Cyrillic, Armenian); other bytes stay."""
     out = _FOLD[data]
-    if len(out) > 1 and (data >= 128).any():
-        upper = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
-        out[1:][upper] += 32
+    lead = np.flatnonzero((data[:-1] >= 0xC3) & (data[:-1] < 0xE0)) if len(data) > 1 else np.zeros(0, np.int64)
+    if len(lead):
+        point = (data[lead].astype(np.uint16) & np.uint16(0x1F)) << np.uint16(6) | (data[lead + 1] & np.uint8(0x3F))
+        low = _LOWER[point]
+        changed = np.flatnonzero(low != point)
+        out[lead[changed]] = 0xC0 | low[changed] >> 6
+        out[lead[changed] + 1] = 0x80 | low[changed] & 0x3F
     return out
 
 
@@ -107,21 +151,33 @@ class Words:
     """Words of all texts of a piece.
 
     ``start``/``end`` are byte positions, ``first`` has for each text the number of
-    its first word (and the total at the end). ``solid``: words are runs without
-    ASCII white space; else runs of ASCII letters, digits and non-ASCII bytes.
-    """
+    its first word (and the total at the end). Words are runs of letters, marks and digits
+    of any script; ``solid``: runs without white space. Of scripts without spaces
+    (``SINGLES``) each character is a word, if ``singles``."""
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, solid: bool = False):
-        inside = (_SOLID if solid else _WORD)[data]
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, solid: bool = False, singles: bool = True):
         n = len(data)
-        edge = np.zeros(n + 1, bool)
-        edge[offsets] = True
-        before = np.zeros(n, bool)
-        before[1:] = inside[:-1]
-        begin = inside & (~before | edge[:-1])
-        after = np.zeros(n, bool)
-        after[:-1] = inside[1:]
-        finish = inside & (~after | edge[1:])
+        kind = _ASCII[data]
+        begin = np.zeros(n, bool)
+        lead = np.flatnonzero(data >= 0xC0)
+        want = SOLID if solid else LETTER
+        if len(lead):
+            point, size = points(data, lead)
+            own = kinds()[point]
+            for i in range(4):
+                some = lead[size > i] + i
+                kind[some[some < n]] = own[size > i][some < n]
+            single = lead[(own & (SINGLE | want)) == (SINGLE | want)] if singles else lead[:0]
+            begin[single] = True
+            after = single + size[np.searchsorted(lead, single)]
+            begin[after[after < n]] = True
+        inside = (kind & want) > 0
+        begin[1:] |= ~inside[:-1]
+        begin[:1] = True
+        begin[offsets[:-1][offsets[:-1] < n]] = True
+        begin &= inside
+        finish = inside.copy()
+        finish[:-1] &= ~inside[1:] | begin[1:]
         self.start = np.flatnonzero(begin)
         self.end = np.flatnonzero(finish) + 1
         self.first = np.searchsorted(self.start, offsets)

@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from corvane.llm.arrowtext import SINGLES, SPACES
 from corvane.llm import bpe, decontam, html, minhash, quality, secrets, simhash, suffixes, tokens, toxicity
 
 
@@ -67,9 +68,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: Windows of 50 words, those that occur again, and the runs of words that they cover.
+def _ranges(of: tuple[tuple[int, int], ...]) -> str:
+    return "".join(rf"\x{{{a:X}}}-\x{{{b:X}}}" for a, b in of)
+
+
 _OP2 = r"""
 with words as (
-  select distinct doc_id::bigint as doc_id, text, list_filter(regexp_split_to_array(text, '[ \t\n\r\x0b\x0c]+'), lambda x: x <> '') as w
+  select distinct doc_id::bigint as doc_id, text, regexp_extract_all(text, '[SINGLES]|[^SPACESSINGLES]+') as w
   from documents where doc_id is not null and text is not null
 ), windows as (
   select doc_id, text, s - 1 as s, array_to_string(w[s : s + 49], ' ') as passage
@@ -83,7 +88,7 @@ with words as (
   select *, sum(new) over (partition by doc_id, text, extra order by s) as run from marked
 )
 select doc_id, min(s)::integer as start_word, (max(s) + 50)::integer as end_word, extra from runs group by doc_id, text, extra, run
-"""
+""".replace("SINGLES", _ranges(SINGLES)).replace("SPACES", _ranges(SPACES))
 
 
 

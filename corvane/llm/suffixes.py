@@ -14,7 +14,8 @@ by most significant digit first, and what stands alone after a digit is dropped:
 Digits of words are hashes: 64 bits for the anchor and 48 for the window, 112 together
 with the place besides. No suffix is left out, and no group has a limit.
 
-Words are runs without ASCII white space, compared byte by byte.
+Words are runs without white space, compared byte by byte; of scripts without spaces each
+character is a word.
 """
 
 from __future__ import annotations
