@@ -63,6 +63,7 @@ def _pack(to: list[int]) -> int:
 _STEP = np.array([_pack([x] * 4) for x in (IN_OTHER, IN_WORD, IN_WORD, FRESH, WAITING)], np.uint8)
 IDENTITY = _pack([0, 1, 2, 3])
 _maps = np.array([[(m >> (2 * s)) & 3 for s in range(4)] for m in range(256)], np.uint8)
+_CONSTANT = (_maps == _maps[:, :1]).all(axis=1)
 #: _THEN[f * 256 + g]: first f, then g.
 _THEN = sum((_maps[:, _maps[:, s]].T.astype(np.uint16) << (2 * s)) for s in range(4)).astype(np.uint8).reshape(-1)
 
@@ -71,7 +72,7 @@ def scan(functions: np.ndarray, block: int = 64) -> np.ndarray:
     """Packed composition of functions[0..i] for each i: doubling inside blocks, then
     the totals of the blocks in the same way."""
     n = len(functions)
-    if n == 0:
+    if n == 0 or _CONSTANT[functions].all():  # what comes before a constant function doesn't matter
         return functions
     out = np.full(-(-n // block) * block, IDENTITY, np.uint8)
     out[:n] = functions

@@ -35,7 +35,7 @@ def write(tokens: DataFrame, path: str, encodings: dict[str, str] = ENCODINGS, r
         raise ValueError(f"unknown encodings {sorted(wrong)}")
     if min(row_group, page, page_rows) < 1:
         raise ValueError("sizes have to be positive")
-    options = {"parquet.block.size": row_group, "parquet.page.size": page, "parquet.page.row.count.limit": page_rows, "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "compression": "zstd"}
+    options = {"parquet.block.size": row_group, "parquet.page.size": page, "parquet.page.row.count.limit": page_rows, "parquet.writer.version": "PARQUET_2_0", "parquet.enable.dictionary": "true", "compression": "lz4_raw"}
     for column, encoding in encodings.items():
         # without a dictionary, the second version of the format writes integers as deltas
         options[f"parquet.enable.dictionary#{column}.list.element"] = str(encoding == "dictionary").lower()
