@@ -6,14 +6,20 @@ if their fingerprints differ in at most ``k`` bits and their summed word weights
 less than three tenths of the larger; groups are the connected components of that
 relation, and each group is named after its smallest doc_id.
 
-Search is exact. The code is split into blocks; two codes within ``k`` bits have a
-block that differs in no more bits than its share (pigeonhole). Each block value
-has a Gray-coded head; a cell of the join is a pair of heads whose own difference
-does not already exceed that bound. In a cell the codes are sorted by Gray rank, so
-that neighbours share masked bit patterns; those patterns are the upper nodes of a
-hierarchy which is joined with itself from the top: differences accumulate level by
-level and a pair of nodes beyond the bound is dropped with all codes below it.
-Cells report a spanning forest, not all pairs, so a group of thousands of copies
+Search is exact. The code is a ring of 16 bytes, each with a share of the ``k`` bits. If
+two codes differ in at most ``k`` bits, one of the 16 rotations of the ring has this: from
+its first byte on, the differences accumulated over any number of bytes stay within the
+shares accumulated so far (a walk whose total is negative has a start from which it stays
+negative). So each rotation is searched with bounds for every prefix, and a pair has to
+survive them all in one rotation only.
+
+The first bits of a rotated code are its head; a cell of the join is a pair of heads that
+the bounds allow. In a cell the rotated codes are sorted by Gray rank, so that neighbours
+share masked bit patterns; the patterns of the first 8, 12, ... 64 bits are the nodes of a
+hierarchy that is joined with itself from the top: differences accumulate level by
+level, and a pair of nodes beyond the bound is dropped with all codes below it, as is
+one whose codes are all known to be connected. What is left is compared over all 128
+bits. Cells report a spanning forest, not all pairs, so a group of thousands of copies
 costs as many rows as it has members.
 """
 
@@ -33,13 +39,13 @@ from corvane.llm.spread import cut, fresh_names
 K = 20
 #: Near copies also have summed word weights that differ by less than three tenths.
 LEAST_TENTHS = 7
-BLOCKS = 8
-HEAD_BITS = 3
+BYTES = 16
+HEAD_BITS, MOST_HEAD_BITS = 3, 16
 #: Codes per head from which on heads get longer.
-CELL_CODES = 1 << 20
+CELL_CODES = 1 << 18
 #: Rows of 8 bytes that may be broadcast.
 BROADCAST_ROWS = 1_000_000
-LEVELS = (4, 8, 12, 16)
+LEVELS = (8, 12, 16, 20, 24, 28, 32, 36, 40, 48, 56, 64)
 
 _LANES = np.array([int.from_bytes(bytes((b >> (7 - i)) & 1 for i in range(8)), "little") for b in range(256)], np.uint64)
 _RUN = 60
@@ -102,16 +108,18 @@ def with_fingerprint(docs: DataFrame) -> DataFrame:
 
 
 def gray_rank(values: np.ndarray) -> np.ndarray:
-    """Place of each value in the Gray sequence (inverse Gray code)."""
+    """Place of each 64-bit value in the Gray sequence (inverse Gray code)."""
     out = values.copy()
-    for shift in (1, 2, 4, 8, 16):
-        out ^= out >> out.dtype.type(shift)
+    for shift in (1, 2, 4, 8, 16, 32):
+        out ^= out >> U64(shift)
     return out
 
 
-def block_values(codes: np.ndarray, block: int) -> np.ndarray:
-    """The 16-bit block of each code (n x 2 words)."""
-    return np.ascontiguousarray(codes).view(np.uint16).reshape(len(codes), 8)[:, block].astype(np.uint32)
+def rotated(codes: np.ndarray, start: int) -> np.ndarray:
+    """The first 64 bits of each code (n x 2 words) from byte ``start`` of the ring on."""
+    first, second = codes[:, start // 8], codes[:, 1 - start // 8]
+    by = U64(start % 8 * 8)
+    return first << by | second >> (U64(64) - by) if by else first.copy()
 
 
 def _product(lo_a, hi_a, lo_b, hi_b):
@@ -124,29 +132,51 @@ def _product(lo_a, hi_a, lo_b, hi_b):
 
 
 class GrayIndex:
-    """Hierarchy over the distinct block values of one set of codes in Gray order.
+    """Hierarchy over the first 64 bits of rotated codes in Gray order.
 
     ``levels[d]`` are the patterns that the top ``LEVELS[d]`` bits take, each with the
-    range of its children in the next level; the last level's children are codes."""
+    range of its children in the next level; the last level's children are codes. Levels
+    end where every pattern is one code."""
 
     def __init__(self, values: np.ndarray):
         self.order = np.argsort(gray_rank(values), kind="stable")
         ordered = values[self.order]
         self.levels: list[tuple[np.ndarray, np.ndarray]] = []
         for bits in LEVELS:
-            pattern = ordered >> np.uint32(16 - bits)
+            pattern = ordered >> U64(64 - bits)
             start = np.flatnonzero(np.concatenate(([True], pattern[1:] != pattern[:-1])))
             self.levels.append((pattern[start], np.append(start, len(ordered))))
+            if len(start) == len(ordered):
+                break
+        self.ordered = ordered
+        self.roots: list[np.ndarray] = []
 
     def children(self, level: int) -> tuple[np.ndarray, np.ndarray]:
         """Range of children of each node of ``level`` in the next one."""
         start = self.levels[level][1]
-        if level + 1 == len(LEVELS):
+        if level + 1 == len(self.levels):
             return start[:-1], start[1:]
         below = self.levels[level + 1][1]
         at = np.searchsorted(below, start)
         return at[:-1], at[1:]
 
+    def connect(self, root: np.ndarray) -> None:
+        """Note for each node which root its codes have, or -1 if they have several."""
+        own = root[self.order]
+        self.roots = []
+        for _, start in self.levels:
+            low = np.minimum.reduceat(own, start[:-1])
+            self.roots.append(np.where(np.maximum.reduceat(own, start[:-1]) == low, low, -1))
+
+    def deepen(self, depth: int) -> None:
+        """Repeat the last level, so that two hierarchies are joined level by level."""
+        while len(self.levels) < depth:
+            pattern = self.values_at(LEVELS[len(self.levels)])
+            self.levels.append((pattern, np.arange(len(pattern) + 1)))
+
+    def values_at(self, bits: int) -> np.ndarray:
+        return self.ordered >> U64(64 - bits)
+
 
 CHUNK = 1 << 19
 
@@ -162,8 +192,21 @@ def _cut(sizes: np.ndarray) -> list[tuple[int, int]]:
     return out
 
 
-def join(a: GrayIndex, b: GrayIndex, bound: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(i, j) of codes whose blocks differ in at most ``bound`` bits, in parts."""
+def join(a: GrayIndex, b: GrayIndex, limits: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(i, j) of codes whose accumulated differences stay within the limits of each level, in
+    parts, without those that both sides know to be connected."""
+    depth = max(len(a.levels), len(b.levels))
+    a.deepen(depth)
+    b.deepen(depth)
+
+    def near(level: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        good = np.bitwise_count(a.levels[level][0][x] ^ b.levels[level][0][y]) <= limits[level]
+        if a is b:
+            good &= x <= y
+        if a.roots and b.roots:
+            own = a.roots[level][x]
+            good &= (own < 0) | (own != b.roots[level][y])
+        return good
 
     def down(level: int, i: np.ndarray, j: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         lo_a, hi_a = (x[i] for x in a.children(level))
@@ -175,16 +218,16 @@ def join(a: GrayIndex, b: GrayIndex, bound: int) -> Iterator[tuple[np.ndarray, n
             spans = [(lo_a[s], hi_a[s])] if last - first > 1 else [(np.array([x]), np.array([min(x + step, hi_a[first])])) for x in range(lo_a[first], hi_a[first], step)]
             for from_a, to_a in spans:
                 x, y, _ = _product(from_a, to_a, lo_b[s], hi_b[s])
-                if level + 1 == len(LEVELS):
+                if level + 1 == depth:
                     yield a.order[x], b.order[y]
                     continue
-                near = np.bitwise_count(a.levels[level + 1][0][x] ^ b.levels[level + 1][0][y]) <= bound
-                if near.any():
-                    yield from down(level + 1, x[near], y[near])
+                some = near(level + 1, x, y)
+                if some.any():
+                    yield from down(level + 1, x[some], y[some])
 
     x, y, _ = _product(np.array([0]), np.array([len(a.levels[0][0])]), np.array([0]), np.array([len(b.levels[0][0])]))
-    near = np.bitwise_count(a.levels[0][0][x] ^ b.levels[0][0][y]) <= bound
-    yield from down(0, x[near], y[near])
+    some = near(0, x, y)
+    yield from down(0, x[some], y[some])
 
 
 class Forest:
@@ -218,82 +261,110 @@ class Forest:
             self.up = up
 
 
-def bounds(k: int) -> list[int]:
-    """Differences allowed in each block: codes within k bits have a block within its own."""
-    return [(k + 1) // BLOCKS + (i < (k + 1) % BLOCKS) - 1 for i in range(BLOCKS)]
+def shares(k: int) -> np.ndarray:
+    """Share of each byte of the ring in k + 1 bits, spread evenly."""
+    return np.diff(np.arange(BYTES + 1) * (k + 1) // BYTES)
+
 
+def limit(k: int, start: int, bits: int) -> int:
+    """Differences allowed in the first ``bits`` bits of codes rotated to byte ``start``."""
+    return int(np.roll(shares(k), -start)[: -(-bits // 8)].sum()) - 1
 
-def _cells(bound: int, head_bits: int) -> tuple[list[list[tuple[int, int]]], int]:
-    """For each head, the cells (number, side) that it takes part in, and their number.
 
-    A cell is a pair of heads within the bound; side 0 and 1 are its two heads,
-    2 stands for both when they are the same."""
-    out: list[list[tuple[int, int]]] = [[] for _ in range(1 << head_bits)]
-    number = 0
-    for u in range(1 << head_bits):
-        for v in (u, *(x for x in range(u + 1, 1 << head_bits) if (u ^ x).bit_count() <= bound)):
-            if u == v:
-                out[u].append((number, 2))
-            else:
-                out[u].append((number, 0))
-                out[v].append((number, 1))
-            number += 1
-    return out, number
+def masks(k: int, start: int, head_bits: int) -> np.ndarray:
+    """Differences of two heads that the limits allow, nothing first."""
+    all_ = np.arange(1 << head_bits, dtype=np.int64)
+    good = np.bitwise_count(all_) <= limit(k, start, head_bits)
+    if head_bits > 8:
+        good &= np.bitwise_count(all_ >> (head_bits - 8)) <= limit(k, start, 8)
+    return all_[good]
 
 
-def cell_edges(codes: np.ndarray, size: np.ndarray, side: np.ndarray, block: int, k: int, bound: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest (i, root) of the near pairs that one cell finds."""
-    left = np.flatnonzero(side != 1)
-    right = np.flatnonzero(side != 0)
+def cell_edges(codes: np.ndarray, size: np.ndarray, side: np.ndarray, start: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest (i, root) of the near pairs that one cell finds.
+
+    ``side`` 0 and 1 are the cell's two heads, 2 stands for both when they are the same."""
     forest = Forest(len(codes))
+    hi, lo = np.ascontiguousarray(codes[:, 0]), np.ascontiguousarray(codes[:, 1])
+
+    def link(x: np.ndarray, y: np.ndarray) -> bool:
+        apart = np.bitwise_count(hi[x] ^ hi[y])
+        some = apart <= k
+        x, y, apart = x[some], y[some], apart[some]
+        some = (apart + np.bitwise_count(lo[x] ^ lo[y]) <= k) & (np.minimum(size[x], size[y]) * 10 >= np.maximum(size[x], size[y]) * LEAST_TENTHS)
+        some &= forest.up[x] != forest.up[y]
+        if some.any():
+            forest.add(x[some], y[some])
+        return bool(some.any())
+
+    left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
     if len(left) and len(right):
-        values = block_values(codes, block)
+        values = rotated(codes, start)
         a = GrayIndex(values[left])
         b = a if (side == 2).all() else GrayIndex(values[right])
-        hi, lo = np.ascontiguousarray(codes[:, 0]), np.ascontiguousarray(codes[:, 1])
-        for x, y in join(a, b, bound):
-            x, y = left[x], right[y]
-            if a is b:
-                once = x < y
-                x, y = x[once], y[once]
-            near = np.bitwise_count(hi[x] ^ hi[y])
-            some = near <= k
-            x, y, near = x[some], y[some], near[some]
-            some = (near + np.bitwise_count(lo[x] ^ lo[y]) <= k) & (np.minimum(size[x], size[y]) * 10 >= np.maximum(size[x], size[y]) * LEAST_TENTHS)
-            if some.any():
-                forest.add(x[some], y[some])
+        depth = [limit(k, start, bits) for bits in LEVELS]
+        # neighbours in Gray order first: what they connect is not compared any more
+        every = np.argsort(gray_rank(values), kind="stable")
+        for step in (1, 2, 3):
+            link(every[:-step], every[step:])
+
+        def connect() -> None:
+            for index, own in ((a, left), (b, right))[: 1 if a is b else 2]:
+                index.connect(forest.up[own])
+
+        for index in {id(a): a, id(b): b}.values():
+            index.deepen(max(len(a.levels), len(b.levels)))
+        connect()
+        due = False
+        for n, (x, y) in enumerate(join(a, b, depth)):
+            due |= link(left[x], right[y])
+            if due and (n < 8 or n % 16 == 0):
+                connect()
+                due = False
     child = np.flatnonzero(forest.up != np.arange(len(codes)))
     return child, forest.up[child]
 
 
+_CELLS = "cell long, side byte, node long, hi long, lo long, size long"
+
+
 def near_edges(nodes: DataFrame, k: int = K, head_bits: int = HEAD_BITS) -> DataFrame:
     """(src, dst): edges between the ``node`` ids of (node, hi, lo, size), enough of
     them to connect whatever near pairs connect."""
     if not 0 <= k < 128:
         raise ValueError("k has to be from 0 to 127")
-    limits = bounds(k)
-    tables = [_cells(limit, head_bits) for limit in limits]
-    ends = np.cumsum([number for _, number in tables])
-    words = [F.col("hi")] * 4 + [F.col("lo")] * 4
-    places = []
-    for i, (table, number) in enumerate(tables):
-        base = int(ends[i]) - number
-        # cell * 4 + side in one integer keeps the literal table small
-        cells = F.array(*[F.array(*[F.lit((base + c) * 4 + s) for c, s in row]) for row in table])
-        places.append(F.get(cells, F.shiftrightunsigned(words[i], 16 * (i % 4) + 16 - head_bits).bitwiseAND((1 << head_bits) - 1).cast("int")))
-    spread = nodes.select("node", "hi", "lo", "size", F.explode(F.flatten(F.array(*places))).alias("p"))
-    spread = spread.select("node", "hi", "lo", "size", F.shiftright("p", 2).alias("cell"), F.col("p").bitwiseAND(3).cast("byte").alias("side"))
+    if not 1 <= head_bits <= MOST_HEAD_BITS:
+        raise ValueError(f"head_bits has to be from 1 to {MOST_HEAD_BITS}")
+    # a rotation whose first byte has no share has no pair
+    allowed = [(start, masks(k, start, head_bits)) for start in range(BYTES) if limit(k, start, 8) >= 0]
+
+    def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for first in range(0, whole.num_rows, 2000):
+                batch = whole.slice(first, 2000)
+                codes = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1).view(np.uint64)
+                for start, mask in allowed:
+                    head = (rotated(codes, start) >> U64(64 - head_bits)).astype(np.int64)[:, None]
+                    least = np.minimum(head, head ^ mask)
+                    cell = np.int64(start) << 32 | least << 16 | mask
+                    side = np.where(mask == 0, 2, head != least).astype(np.int8)
+                    row = pa.array(np.repeat(np.arange(batch.num_rows), len(mask)))
+                    yield pa.RecordBatch.from_arrays([pa.array(cell.reshape(-1)), pa.array(side.reshape(-1)), *[c.take(row) for c in batch.columns]], ["cell", "side", "node", "hi", "lo", "size"])
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         codes = np.stack([table.column("hi").to_numpy(), table.column("lo").to_numpy()], axis=1).view(np.uint64)
         node = table.column("node").to_numpy()
-        block = int(np.searchsorted(ends, key[0].as_py(), "right"))
         # by node id, so that the root of a tree is its smallest one
         order = np.argsort(node, kind="stable")
-        child, root = cell_edges(codes[order], table.column("size").to_numpy()[order], table.column("side").to_numpy()[order], block, k, limits[block])
+        child, root = cell_edges(codes[order], table.column("size").to_numpy()[order], table.column("side").to_numpy()[order], key[0].as_py() >> 32, k)
         return pa.table({"src": node[order][child], "dst": node[order][root]})
 
-    return spread.groupBy("cell").applyInArrow(search, "src long, dst long")
+    return nodes.select("node", "hi", "lo", "size").mapInArrow(to_cells, _CELLS).groupBy("cell").applyInArrow(search, "src long, dst long")
+
+
+def heads(codes: int) -> int:
+    """Bits of a head, from the number of distinct codes."""
+    return min(MOST_HEAD_BITS, max(HEAD_BITS, math.ceil(math.log2(max(1, codes) / CELL_CODES))))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -319,13 +390,12 @@ def groups(docs: DataFrame, k: int = K) -> DataFrame:
 
     Null ids and null, empty or wordless texts have no row. Repeated rows are one; a
     doc_id with several texts has a row for each group that one of them is in. Other
-    columns are not looked at."""
+    columns are not looked at. Runs the jobs that find the groups when it is called."""
     prints = cut(with_fingerprint(docs))
     nodes = cut(prints.groupBy("hi", "lo", "size").agg(F.min("doc_id").alias("least")))
     # ids by place in what was just written: the same whenever it is read again
     nodes = nodes.withColumn("node", F.monotonically_increasing_id())
-    head_bits = max(HEAD_BITS, math.ceil(math.log2(max(1, nodes.count()) / CELL_CODES)))
-    roots = components(near_edges(nodes, k, head_bits))
+    roots = components(near_edges(nodes, k, heads(nodes.count())))
     named = cut(nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node")))
     smallest = named.groupBy("root").agg(F.min("least").alias("group_id"))
     members = prints.join(named.join(smallest, "root").select("hi", "lo", "size", "group_id"), ["hi", "lo", "size"]).select("group_id", "doc_id").distinct()

@@ -2,8 +2,9 @@ import random
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from corvane.llm import simhash
-from corvane.llm.arrowtext import pieces, utf8
+from corvane.llm.arrowtext import U64, pieces, utf8
 from pyspark.sql import functions as F
 
 DOCS = "/root/testdata/sf0.001/documents.parquet"
@@ -39,22 +40,96 @@ def test_equals_brute_force(spark):
     assert len({g for _, g in got}) < len(got)
 
 
-def test_random_codes_and_every_bound():
-    random.seed(3)
-    rng = np.random.default_rng(3)
-    base = rng.integers(0, 1 << 63, (40, 2), dtype=np.uint64)
+def some_codes(seed=3, n=40):
+    random.seed(seed)
+    rng = np.random.default_rng(seed)
+    base = rng.integers(0, 1 << 64, (n, 2), dtype=np.uint64)
     codes = np.concatenate([base, base, base])
-    for i in range(40, 120):
+    for i in range(n, 3 * n):
         for bit in random.sample(range(128), random.randrange(0, 26)):
             codes[i, bit // 64] ^= np.uint64(1 << (bit % 64))
-    for k in (3, 12, 20, 23):
-        pairs = {(i, j) for i in range(120) for j in range(i + 1, 120) if np.bitwise_count(codes[i] ^ codes[j]).sum() <= k}
+    return codes
+
+
+def near_pairs(codes, k):
+    return {(i, j) for i in range(len(codes)) for j in range(i + 1, len(codes)) if np.bitwise_count(codes[i] ^ codes[j]).sum() <= k}
+
+
+def test_random_codes_and_every_bound():
+    codes = some_codes()
+    for k in (0, 3, 12, 20, 23, 40):
         found = set()
-        for block, bound in enumerate(simhash.bounds(k)):
-            index = simhash.GrayIndex(simhash.block_values(codes, block))
-            for x, y in simhash.join(index, index, bound):
-                found |= {(int(i), int(j)) for i, j in zip(x, y) if i < j and np.bitwise_count(codes[i] ^ codes[j]).sum() <= k}
-        assert found == pairs
+        for start in range(simhash.BYTES):
+            index = simhash.GrayIndex(simhash.rotated(codes, start))
+            for x, y in simhash.join(index, index, [simhash.limit(k, start, bits) for bits in simhash.LEVELS]):
+                found |= {(min(int(i), int(j)), max(int(i), int(j))) for i, j in zip(x, y) if i != j and np.bitwise_count(codes[i] ^ codes[j]).sum() <= k}
+        assert found == near_pairs(codes, k)
+
+
+def test_rotation_is_a_ring_of_bytes():
+    codes = some_codes(5, 4)
+    whole = np.ascontiguousarray(codes.byteswap()).view(np.uint8).reshape(-1, 16)
+    for start in range(16):
+        want = np.roll(whole, -start, axis=1)[:, :8]
+        assert (np.ascontiguousarray(simhash.rotated(codes, start).byteswap()).view(np.uint8).reshape(-1, 8) == want).all()
+
+
+@pytest.mark.parametrize("head_bits", [3, 6, 10])
+def test_edges_connect_all_near_pairs(spark, head_bits):
+    import time
+
+    codes = some_codes(head_bits, 60)
+    size = np.where(np.arange(len(codes)) % 11 == 0, 10, 100)
+    rows = [(i, *map(int, c.view(np.int64)), int(s)) for i, (c, s) in enumerate(zip(codes, size))]
+    nodes = spark.createDataFrame(rows, "node long, hi long, lo long, size long")
+    for k in (3, 20):
+        began = time.time()
+        edges = simhash.near_edges(nodes, k, head_bits)
+        assert time.time() - began < 5
+        up = list(range(len(codes)))
+
+        def root(i, up=up):
+            while up[i] != i:
+                i = up[i]
+            return i
+
+        pairs = {(i, j) for i, j in near_pairs(codes, k) if 10 * min(size[i], size[j]) >= simhash.LEAST_TENTHS * max(size[i], size[j])}
+        for i, j in pairs:
+            up[max(root(i), root(j))] = min(root(i), root(j))
+        got = {r.node: r.root for r in simhash.components(edges).collect()}
+        assert [got.get(i, i) for i in range(len(codes))] == [root(i) for i in range(len(codes))]
+
+
+def test_groups_with_longer_heads(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "CELL_CODES", 4)
+    assert simhash.heads(200) == 6
+    docs = spark.read.parquet(DOCS)
+    got = {(r.doc_id, r.group_id) for r in simhash.groups(docs).collect()}
+    assert got == brute([(r.doc_id, r.text) for r in docs.collect()])
+
+
+def test_dense_group_is_not_compared_pair_by_pair():
+    rng = np.random.default_rng(8)
+    codes = np.repeat(rng.integers(0, 1 << 64, (1, 2), dtype=np.uint64), 20_000, axis=0)
+    for _ in range(6):
+        bit = rng.integers(0, 128, len(codes))
+        codes[np.arange(len(codes)), bit // 64] ^= U64(1) << (bit % 64).astype(np.uint64)
+    compared = 0
+    plain = simhash.join
+
+    def counted(*of):
+        nonlocal compared
+        for x, y in plain(*of):
+            compared += len(x)
+            yield x, y
+
+    simhash.join = counted
+    try:
+        child, root = simhash.cell_edges(codes, np.full(len(codes), 50), np.full(len(codes), 2), 0, 20)
+    finally:
+        simhash.join = plain
+    assert len(child) == len(codes) - 1 and not root.any()
+    assert compared < len(codes) ** 2 / 50
 
 
 def test_edges_and_extra_columns(spark):
