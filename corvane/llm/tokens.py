@@ -68,16 +68,17 @@ def by_id(docs: DataFrame) -> DataFrame:
     return docs.repartitionByRange("doc_id", F.xxhash64("text")).sortWithinPartitions("doc_id")
 
 
-def output(docs: DataFrame, vocabulary: str = bpe.DEFAULT_VOCABULARY, path: str | None = None) -> DataFrame:
-    """(doc_id, n_tokens, token_ids, token_ends) of every row of docs, as read back from what was written.
+def output(docs: DataFrame, vocabulary: str = bpe.DEFAULT_VOCABULARY, path: str | None = None, ends: bool = False) -> DataFrame:
+    """(doc_id, n_tokens, token_ids) of every row of docs, as read back from what was written.
 
-    Runs the jobs that write when it is called. token_ends are the byte offsets at which the tokens end. A null
-    text has null lists and 0 tokens, an empty one empty lists; null ids are kept, repeated rows too. Other
-    columns of docs are not stored: they are one join on doc_id away."""
+    Runs the jobs that write when it is called. With ``ends`` there is a column token_ends, the byte offsets at
+    which the tokens end; by default there is none, as the lengths of the tokens add up to it. A null text has null
+    lists and 0 tokens, an empty one empty lists; null ids are kept, repeated rows too. Other columns of docs are
+    not stored: they are one join on doc_id away."""
     spark = docs.sparkSession
     path = path or folder(spark)
     ranged = by_id(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]))
-    write(bpe.encode(ranged, vocabulary).select("doc_id", "n_tokens", "token_ids", "token_ends"), path, ordered=True)
+    write(bpe.encode(ranged, vocabulary).select("doc_id", "n_tokens", "token_ids", *["token_ends"] * ends), path, ordered=True)
     return read(spark, path)
 
 
