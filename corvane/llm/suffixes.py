@@ -12,7 +12,14 @@ by most significant digit first, and what stands alone after a digit is dropped:
 3. the words of the whole window.
 
 Digits of words are hashes: 64 bits for the anchor and 48 for the window, 112 together
-with the place besides. No suffix is left out, and no group has a limit.
+with the place besides. No suffix is left out, and no group has a limit. Groups are not
+compared word by word: among 10**13 windows the odds that any two different ones fall
+together are about 10**26 / 2 / 2**112, one in a hundred million.
+
+Anchors are counted first. Those of more than ``HOT_ROWS`` rows, as boilerplate has, would
+each be one task's work: their suffixes are grouped by all three digits instead, with the
+number and the first of each group combined before the shuffle, and joined back, which
+adaptive execution splits where a single window is hot itself.
 
 Words are runs without white space, compared byte by byte; of scripts without spaces each
 character is a word.
@@ -28,12 +35,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.arrowtext import _BYTE, U64, Rolling, Words, arrow_batches, pieces, utf8
-from corvane.llm.spread import fresh_names
+from corvane.llm.spread import cut, fresh_names
 
 DEPTH = 50
 BYTES = 6
 #: Rows that a task of the sort looks at together.
 ROWS = 40_000
+#: Rows of one anchor that one task sorts; a row takes about 110 bytes.
+HOT_ROWS = 500_000
+#: Anchors up to which they are sent to every task.
+BROADCAST_ROWS = 1_000_000
 
 _SUFFIXES = "doc_id long, copy long, anchor long, place long, windows binary"
 _SPANS = "doc_id long, copy long, start_word int, end_word int, extra boolean"
@@ -49,24 +60,33 @@ def _lowest(values: np.ndarray, width: int, step: int = 1 << 15) -> np.ndarray:
     return np.concatenate([view[i : i + step].argmin(axis=1) + np.arange(i, min(i + step, len(view))) for i in range(0, len(view), step)] or [np.zeros(0, np.int64)])
 
 
-def suffixes(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Runs of suffixes that share an anchor: (text, anchor hash, first suffix * 64k + words
-    before the anchor, where each run begins, 48-bit hashes of all suffixes as n x 6)."""
+def _anchors(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple:
+    """(words, their prefix sums, text and first word of each suffix, place of its anchor, hash of
+    every run, where each run of suffixes with one anchor begins)."""
     words = Words(data, offsets, solid=True)
     run = (depth + 1) // 2
     per_text = np.maximum(words.count - depth + 1, 0)
     text = np.repeat(np.arange(len(per_text)), per_text)
+    start = words.first[text] + np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
     if not len(text):
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(1, np.int64), np.zeros((0, BYTES), np.uint8)
-    start = words.first[text] + np.arange(len(text)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
+        return words, None, text, start, none, none.view(np.uint64), none
     roll = Rolling(words.hashes(data))
     grams = np.arange(len(words) - run + 1)
     anchors = roll.ranges(grams, grams + run)
     at = _lowest(anchors, depth - run + 1)[start]
     first = np.ones(len(text), bool)
     first[1:] = (at[1:] != at[:-1]) | (text[1:] != text[:-1])
-    begin = np.flatnonzero(first)
+    return words, roll, text, start, at, anchors, np.flatnonzero(first)
+
+
+def suffixes(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of suffixes that share an anchor: (text, anchor hash, first suffix * 64k + words
+    before the anchor, where each run begins, 48-bit hashes of all suffixes as n x 6)."""
+    words, roll, text, start, at, anchors, begin = _anchors(data, offsets, depth)
+    if not len(text):
+        none = np.zeros(0, np.int64)
+        return none, none, none, np.zeros(1, np.int64), np.zeros((0, BYTES), np.uint8)
     window = (roll.ranges(start, start + depth) >> U64(64 - 8 * BYTES)).view(np.uint8).reshape(-1, 8)[:, :BYTES]
     place = (start[begin] - words.first[text[begin]] << 16) + at[begin] - start[begin]
     return text[begin], anchors[at[begin]].view(np.int64), place, np.append(begin, len(text)), np.ascontiguousarray(window)
@@ -155,7 +175,45 @@ def merged(doc: np.ndarray, copy: np.ndarray, extra: np.ndarray, start: np.ndarr
     return first, (far - lift)[np.append(first[1:], len(doc)) - 1] if len(first) else first
 
 
-def spans(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+def hot_anchors(text: DataFrame, depth: int, hot_rows: int) -> DataFrame:
+    """(anchor) of more than hot_rows rows; every row is counted, partly before the shuffle."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for piece in pieces(batch):
+                _, _, _, _, at, anchors, begin = _anchors(*utf8(piece.column(1)), depth)
+                value, n = np.unique(anchors[at[begin]].view(np.int64), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(value), pa.array(n)], ["anchor", "n"])
+
+    return text.mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > hot_rows).select("anchor")
+
+
+def _hot_spans(rows: DataFrame, depth: int) -> DataFrame:
+    """As the sort finds them, of rows of any number for an anchor: one row for each window, its
+    group's first one joined to it."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for first in range(0, batch.num_rows, 500):
+                piece = batch.slice(first, 500)
+                data, offsets = utf8(piece.column(4))
+                count = np.diff(offsets) // BYTES
+                row = np.repeat(np.arange(len(count)), count)
+                step = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+                wide = np.zeros((len(row), 8), np.uint8)
+                wide[:, :BYTES] = data.reshape(-1, BYTES)
+                place = piece.column(3).to_numpy()[row]
+                yield pa.RecordBatch.from_arrays([*[piece.column(i).take(pa.array(row)) for i in range(3)], pa.array((place & 0xFFFF) - step), pa.array(wide.view(np.int64)[:, 0]), pa.array(((place >> 16) + step).astype(np.int32))], ["doc_id", "copy", "anchor", "place", "window", "start_word"])
+
+    every = rows.mapInArrow(windows, "doc_id long, copy long, anchor long, place long, window long, start_word int")
+    own = F.struct("doc_id", "copy", "start_word")
+    groups = every.groupBy("anchor", "place", "window").agg(F.min(own).alias("low"), F.max(own).alias("high")).where("low <> high").drop("high")
+    found = every.join(groups, ["anchor", "place", "window"]).select("doc_id", "copy", "start_word", (own != F.col("low")).alias("extra"))
+    # rows that occur again are one before they meet
+    return found.distinct().select("doc_id", "copy", "start_word", (F.col("start_word") + depth).cast("int").alias("end_word"), "extra")
+
+
+def spans(docs: DataFrame, depth: int = DEPTH, hot_rows: int = HOT_ROWS) -> DataFrame:
     """(doc_id, copy, start_word, end_word, extra); see ``repeated``. copy is a hash of the text."""
     if not 2 <= depth <= 512:
         raise ValueError("depth has to be from 2 to 512")
@@ -176,16 +234,23 @@ def spans(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc), pa.array(copy), pa.array(start.astype(np.int32)), pa.array(end.astype(np.int32)), pa.array(extra)], ["doc_id", "copy", "start_word", "end_word", "extra"])
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _streamed(batches, [0]):
+        for batch in _streamed(batches, [0, 1]):
             doc, copy, start, end, extra = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
             first, last = merged(doc, copy, extra, start.astype(np.int64), end.astype(np.int64))
             rows = batch.take(pa.array(first))
             yield pa.RecordBatch.from_arrays([*rows.columns[:3], pa.array(last.astype(np.int32)), rows.column(4)], rows.schema.names)
 
     text = docs.select(docs["doc_id"].cast("long"), docs["text"]).where("doc_id is not null and text is not null")
-    ordered = text.mapInArrow(cut_up, _SUFFIXES).repartition("anchor").sortWithinPartitions("anchor")
-    found = ordered.mapInArrow(sort, _SPANS).repartition("doc_id").sortWithinPartitions("doc_id", "copy", "extra", "start_word")
-    return found.mapInArrow(merge, _SPANS)
+    rows = text.mapInArrow(cut_up, _SUFFIXES)
+    hot = cut(hot_anchors(text, depth, hot_rows))
+    number = hot.count()
+    if number and number <= BROADCAST_ROWS:
+        hot = F.broadcast(hot)
+    cold = rows.join(hot, "anchor", "left_anti").select(*rows.columns) if number else rows
+    found = cold.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(sort, _SPANS)
+    if number:
+        found = found.unionByName(_hot_spans(cut(rows.join(hot, "anchor", "left_semi").select(*rows.columns)), depth))
+    return found.repartition("doc_id", "copy").sortWithinPartitions("doc_id", "copy", "extra", "start_word").mapInArrow(merge, _SPANS)
 
 
 def repeated(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
@@ -196,7 +261,8 @@ def repeated(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
     ``without_repeats`` cuts out; the first copies are runs with extra false. A window
     may repeat in its own document. Null ids and null texts have no row, nor have texts
     of fewer than ``depth`` words. Repeated rows (doc_id and text) count as one; a doc_id
-    with several texts has the runs of each."""
+    with several texts has the runs of each. Runs the job that counts anchors when it is
+    called."""
     return spans(docs, depth).select("doc_id", "start_word", "end_word", "extra")
 
 

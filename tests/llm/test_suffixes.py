@@ -59,6 +59,17 @@ def test_equals_brute_force(spark, depth):
     assert got == brute(rows, depth)
 
 
+@pytest.mark.parametrize("hot_rows, broadcast", [(0, 10), (2, 10), (8, 0)])
+def test_hot_anchors_equal_brute_force(spark, monkeypatch, hot_rows, broadcast):
+    monkeypatch.setattr(S, "BROADCAST_ROWS", broadcast)
+    rows = corpus(3) + [corpus(3)[7]] * 40
+    docs = spark.createDataFrame([(i, t, "e", 1) for i, t in rows], SCHEMA)
+    got = [tuple(r) for r in S.spans(docs, 7, hot_rows).select("doc_id", "start_word", "end_word", "extra").collect()]
+    assert len(got) == len(set(got)) and set(got) == brute(rows, 7)
+    text = docs.select("doc_id", "text").where("doc_id is not null and text is not null")
+    assert S.hot_anchors(text, 7, 8).count() < S.hot_anchors(text, 7, 2).count() < S.hot_anchors(text, 7, 0).count()
+
+
 def test_empty_and_bad_depth(spark):
     assert S.repeated(spark.createDataFrame([], SCHEMA)).count() == 0
     with pytest.raises(ValueError):
