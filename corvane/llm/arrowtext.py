@@ -95,12 +95,12 @@ _LOWER = np.array([ord(low) if len(low := chr(c).lower()) == 1 and 128 <= ord(lo
 #: Scripts without spaces between words: each of their characters is a word.
 SINGLES = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x3100, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x20000, 0x3FFFF))
 SPACES = ((0x09, 0x0D), (0x20, 0x20), (0x85, 0x85), (0xA0, 0xA0), (0x1680, 0x1680), (0x2000, 0x200A), (0x2028, 0x2029), (0x202F, 0x202F), (0x205F, 0x205F), (0x3000, 0x3000))
-LETTER, SINGLE, SOLID = 1, 2, 4
+LETTER, SINGLE, SOLID, UPPER, LOWER = 1, 2, 4, 8, 16
 _kinds: np.ndarray | None = None
 
 
 def kinds() -> np.ndarray:
-    """LETTER (letters, marks, digits), SINGLE and SOLID (no white space) of each code point; made once a process."""
+    """LETTER (letters, marks, digits), SINGLE, SOLID (no white space), UPPER and LOWER of each code point; made once a process."""
     global _kinds
     if _kinds is None:
         out = np.fromiter((LETTER * (unicodedata.category(chr(c)) in _LETTERS) for c in range(0x110000)), np.uint8, 0x110000)
@@ -109,6 +109,9 @@ def kinds() -> np.ndarray:
         out[:128] = 0
         out[[*range(48, 58), *range(65, 91), *range(97, 123)]] = LETTER
         out |= SOLID
+        for c in range(0x20000):
+            if (kind := unicodedata.category(chr(c))) in ("Lu", "Lt", "Ll"):
+                out[c] |= LOWER if kind == "Ll" else UPPER
         for low, high in SINGLES:
             out[low : high + 1] |= SINGLE
         for low, high in SPACES:
