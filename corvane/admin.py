@@ -5,12 +5,20 @@ from __future__ import annotations
 import argparse
 import json
 import os
+from dataclasses import dataclass
+from functools import cached_property
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
+
+from corvane.functions.hashing import hashed
+from corvane.functions.security import label
 
 TABLE_PERMISSIONS = ("READ", "WRITE", "BULK_IMPORT", "ALTER_TABLE", "GRANT", "DROP_TABLE")
 SYSTEM_PERMISSIONS = ("GRANT", "CREATE_TABLE", "DROP_TABLE", "ALTER_TABLE", "CREATE_USER", "DROP_USER", "ALTER_USER", "SYSTEM", "CREATE_NAMESPACE", "DROP_NAMESPACE", "ALTER_NAMESPACE", "OBTAIN_DELEGATION_TOKEN")
-STORES = {"blobstore": ("blobs",), "termstore": ("postings", "counts", "hashes"), "cache": ("cache",)}
+STORES = {"blobstore": ("blobs", "stale"), "termstore": ("postings", "counts", "hashes", "stale"), "cache": ("cache",)}
+#: Rows between which an ingest with --split has files of its own.
+SPLITS = [*"0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"]
 
 
 class Registry:
@@ -80,8 +88,11 @@ class Registry:
     def revoke(self, name: str, permission: str, table: str | None = None) -> None:
         self._change(name, table, permission, False)
 
-    def has(self, name: str, permission: str, table: str | None = None) -> bool:
-        user = self._user(self._load(), name)
+    def has(self, name: str | None, permission: str, table: str | None = None) -> bool:
+        """False for a user that there is none of."""
+        user = self._load().get(name)
+        if user is None:
+            return False
         return permission in (user["system"] if table is None else user["tables"].get(table, ()))
 
     def revoke_all(self, name: str) -> None:
@@ -98,8 +109,37 @@ def actions() -> list[str]:
     return ["create_user", *grants, "create", "destroy", "truncate", "remove", "compact", "ingest", "ingest_many", "reindex", "backup", "backup_many"]
 
 
+@dataclass
+class Configuration:
+    """Where a store is and who uses it; the session is made when it is asked for."""
+
+    path: str
+    user: str | None = None
+    registry: str | None = None
+    app: str = "corvane"
+
+    @cached_property
+    def spark(self) -> SparkSession:
+        return SparkSession.builder.appName(self.app).getOrCreate()
+
+    def store(self):
+        from corvane.operators.stores import DataStore
+
+        return DataStore(self.spark, self.path, Registry(self.registry) if self.registry else None, self.user)
+
+
+def _pairs(datasets: str | None, paths: str | None) -> list[tuple[str, str]]:
+    """Datasets with their files, one for each."""
+    names, files = (x.split(",") if x else [] for x in (datasets, paths))
+    if not names or len(names) != len(files):
+        raise ValueError(f"{len(names)} datasets and {len(files)} files: one file is needed for each dataset")
+    return list(zip(names, files))
+
+
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
-    from corvane.operators.stores import SCHEMAS, DataStore
+    """Run one action. With --user, the permissions that the registry has for the user are checked, but for actions on
+    the registry itself."""
+    from corvane.operators.stores import DataStore
     from corvane.sources import files
 
     parser = argparse.ArgumentParser("corvane")
@@ -107,6 +147,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser.add_argument("--store", required=True, help="folder of the store")
     for name in ("user", "dataset", "file", "id-field", "auths", "registry"):
         parser.add_argument(f"--{name}")
+    parser.add_argument("--split", action="store_true", help="ingest: files of their own between single letters and digits")
+    parser.add_argument("--hash", action="store_true", help="ingest: ids are hashes of what the id field has")
     a = parser.parse_args(argv)
     registry = Registry(a.registry or f"{a.store}/users.json")
     if a.action == "create_user":
@@ -120,27 +162,30 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
             change(a.user, {"alter": "ALTER_TABLE", "read": "READ", "write": "WRITE"}[permission], table)
         return 0
     spark = spark or SparkSession.builder.appName("corvane").getOrCreate()
-    store = DataStore(spark, a.store)
-    datasets = (a.dataset or "").split(",")
-    auths = set((a.auths or "ADM").split(","))
+    store = DataStore(spark, a.store, registry if a.user else None, a.user)
     if a.action == "create":
-        os.makedirs(a.store, exist_ok=True)
-    elif a.action in ("destroy", "truncate"):
+        store.create()
+    elif a.action == "destroy":
         store.destroy()
+    elif a.action == "truncate":
+        store.truncate()
     elif a.action == "remove":
         store.remove(a.dataset)
     elif a.action == "compact":
-        for name in SCHEMAS:
-            if store.tables.exists(name):
-                store.tables.compact(name)
+        store.compact()
     elif a.action in ("ingest", "ingest_many"):
-        for dataset, path in zip(datasets, (a.file or "").split(",")):
-            store.persist(files.json_lines(spark, path, dataset, a.id_field or "id"))
+        for dataset, path in _pairs(a.dataset, a.file):
+            if a.split:
+                for table in ("blobs", "postings", "counts"):
+                    store.tables.split(table, SPLITS)
+            docs = files.json_lines(spark, path, dataset, a.id_field or "id")
+            store.persist(docs.withColumn("doc_id", hashed(F.col("doc_id"))) if a.hash else docs)
     elif a.action == "reindex":
         store.reindex(a.dataset)
     else:
-        for dataset, path in zip(datasets, (a.file or "").split(",")):
-            files.backup(store.jsons(auths | {f"{dataset.upper()}_RAW_DATA"}, dataset), path)
+        # a backup has the documents as they are, for which READ on the blobs is enough
+        for dataset, path in _pairs(a.dataset, a.file):
+            files.backup(store.jsons({f"{label(dataset)}_RAW_DATA"}, dataset), path)
     return 0
 
 

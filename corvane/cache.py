@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import base64
+import json
 from collections.abc import Callable, Iterable
 
+import numpy as np
+
+from corvane.functions.hashing import murmur3_128
 from corvane.functions.security import evaluate
 
 
@@ -44,3 +49,52 @@ class AuthAwareCache:
 
     def stats(self) -> dict[str, int]:
         return {"hits": self.hits, "misses": self.misses, "size": sum(map(len, self._entries.values()))}
+
+
+class BloomFilters:
+    """A stack of Bloom filters on the driver: a new one is begun when the last is too full to be right often enough.
+    Queries don't need it, their semi joins are exact."""
+
+    def __init__(self, elements: int = 1_000_000, rate: float = 0.1, limit: float = 0.3):
+        self.elements, self.rate, self.limit = elements, rate, limit
+        self.bits = max(64, int(np.ceil(-elements * np.log(rate) / np.log(2) ** 2 / 64)) * 64)
+        self.hashes = max(1, round(self.bits / elements * np.log(2)))
+        self.filters: list[np.ndarray] = [np.zeros(self.bits // 8, np.uint8)]
+
+    def _places(self, values: list[str]) -> np.ndarray:
+        both = murmur3_128([v.encode() for v in values]).view(np.uint64)
+        step = np.arange(self.hashes, dtype=np.uint64)
+        return ((both[:, :1] + step * both[:, 1:]) % np.uint64(self.bits)).astype(np.int64)
+
+    def expected_rate(self) -> float:
+        """Of false positives, of the last filter."""
+        return float(np.bitwise_count(self.filters[-1]).sum() / self.bits) ** self.hashes
+
+    def put_all(self, values: Iterable[str]) -> None:
+        values = list(values)
+        step = max(1, self.elements // 10)
+        for i in range(0, len(values), step):
+            if self.expected_rate() >= self.limit:
+                self.filters.append(np.zeros(self.bits // 8, np.uint8))
+            at = self._places(values[i : i + step]).reshape(-1)
+            np.bitwise_or.at(self.filters[-1], at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+
+    def put(self, value: str) -> None:
+        self.put_all([value])
+
+    def might_contain(self, value: str) -> bool:
+        at = self._places([value])[0]
+        return any(bool((f[at >> 3] >> (at & 7).astype(np.uint8) & 1).all()) for f in self.filters)
+
+    def dumps(self) -> str:
+        return json.dumps({"elements": self.elements, "rate": self.rate, "limit": self.limit, "filters": [base64.b64encode(f).decode() for f in self.filters]})
+
+    @classmethod
+    def loads(cls, text: str) -> BloomFilters:
+        own = json.loads(text)
+        out = cls(own["elements"], own["rate"], own["limit"])
+        out.filters = [np.frombuffer(base64.b64decode(f), np.uint8).copy() for f in own["filters"]]
+        return out
+
+    def copy(self) -> BloomFilters:
+        return self.loads(self.dumps())

@@ -65,6 +65,13 @@ def hash_text(value: str | bytes | None, salt: str | None = None) -> str:
     return murmur3_128([raw])[0].tobytes().hex() if raw else "0" * 32
 
 
+def hash_texts(values: list[str], salt: str = "") -> list[str]:
+    """``hash_text`` of many."""
+    raw = [(salt + v).encode() for v in values]
+    out = murmur3_128(raw).tobytes().hex()
+    return [out[32 * i : 32 * i + 32] if r else "0" * 32 for i, r in enumerate(raw)]
+
+
 @F.pandas_udf(StringType())
 def _hash(values: pd.Series) -> pd.Series:
     raw = [v if isinstance(v, bytes) else (v or "").encode() for v in values]
@@ -72,6 +79,14 @@ def _hash(values: pd.Series) -> pd.Series:
     return pd.Series([hashed[i].tobytes().hex() if raw[i] else "0" * 32 for i in range(len(raw))])
 
 
+@F.pandas_udf(StringType())
+def hashed_bytes(values: pd.Series) -> pd.Series:
+    """Of binary values; null and empty ones are 32 zeros."""
+    raw = [bytes(v) if v is not None else b"" for v in values]
+    out = murmur3_128(raw)
+    return pd.Series([out[i].tobytes().hex() if raw[i] else "0" * 32 for i in range(len(raw))], dtype=object)
+
+
 def hashed(value: Column, salt: str | None = None) -> Column:
     return _hash(F.concat(F.lit(salt), F.coalesce(value.cast("string"), F.lit(""))) if salt else value)
 

@@ -6,16 +6,21 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.hashing import hash_text
+from corvane.functions.hashing import hash_text, hash_texts
 from corvane.functions.security import ADM, RAW_DATA, label, path_labels
 from corvane.functions.text import SEPARATOR, wildcard_match
 
 MASK = "MASKED_"
+#: Paths that are remembered.
+PATHS = 1 << 16
 
 
 class Lexeme(str):
@@ -31,14 +36,23 @@ def loads(text: str | None):
     return out if isinstance(out, dict | list) else None
 
 
-def dumps(value) -> str:
+class Hole(int):
+    """Stands for a value whose hash is made later, with all others of a batch."""
+
+
+def dumps(value, hashes: list[str] | None = None) -> str:
+    if isinstance(value, Hole):
+        return f'"{MASK}{hashes[value]}"'
     if isinstance(value, Lexeme):
         return str(value)
     if isinstance(value, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{dumps(v)}" for k, v in value.items()) + "}"
+        return "{" + ",".join(f"{_quoted(k)}:{dumps(v, hashes)}" for k, v in value.items()) + "}"
     if isinstance(value, list):
-        return "[" + ",".join(map(dumps, value)) + "]"
-    return json.dumps(value, ensure_ascii=False)
+        return "[" + ",".join(dumps(v, hashes) for v in value) + "]"
+    return _quoted(value) if isinstance(value, str) else json.dumps(value)
+
+
+_quoted = json.JSONEncoder(ensure_ascii=False).encode
 
 
 def flatten(document, prefix: str = "") -> dict[str, object]:
@@ -56,15 +70,21 @@ def flatten(document, prefix: str = "") -> dict[str, object]:
     return out
 
 
+@lru_cache(PATHS)
+def _steps(path: str) -> tuple[str, ...]:
+    steps: list[str] = []
+    for level in path.split(SEPARATOR):
+        name = re.match(r"[^\[]*", level)[0]
+        steps += [name] if name or not level.startswith("[") else []
+        steps += re.findall(r"\[\d+\]", level)
+    return tuple(steps)
+
+
 def unflatten(flat: dict[str, object]):
     """The document again; positions of arrays that are left close up."""
     root: dict = {}
     for path, value in flat.items():
-        steps: list[str] = []
-        for level in path.split(SEPARATOR):
-            name = re.match(r"[^\[]*", level)[0]
-            steps += [name] if name or not level.startswith("[") else []
-            steps += re.findall(r"\[\d+\]", level)
+        steps = _steps(path)
         node = root
         for step in steps[:-1]:
             node = node.setdefault(step, {})
@@ -84,26 +104,69 @@ def text_of(value) -> str | None:
     return None if value is None else str(value).lower() if isinstance(value, bool) else str(value) if isinstance(value, str) else dumps(value)
 
 
+class Projection:
+    """Keeps fields that match a pattern; what the patterns say of a path is looked up once."""
+
+    def __init__(self, patterns: list[str]):
+        self.patterns, self.known = patterns, {}
+
+    def keeps(self, path: str) -> bool:
+        out = self.known.get(path)
+        if out is None:
+            out = self.known[path] = any(wildcard_match(p, path) for p in self.patterns)
+        return out
+
+    def __call__(self, text: str | None) -> str | None:
+        document = loads(text)
+        if document is None:
+            return text
+        if len(self.known) > PATHS:
+            self.known.clear()
+        return dumps(unflatten({k: v for k, v in flatten(document).items() if self.keeps(k)}))
+
+
 def project_document(text: str | None, patterns: list[str]) -> str | None:
     """Only fields that match a pattern; what is no JSON stays as it is."""
-    document = loads(text)
-    if document is None:
-        return text
-    return dumps(unflatten({k: v for k, v in flatten(document).items() if any(wildcard_match(p, k) for p in patterns)}))
+    return Projection(patterns)(text)
+
+
+class Masking:
+    """Fields none of whose first three levels is authorised become MASKED_ and a hash; all hashes of a batch are
+    made together."""
+
+    def __init__(self, dataset: str, auths: set[str], salt: str | None = None, magic: str = "__id__"):
+        self.start, self.auths, self.salt, self.magic = label(dataset) + "_", frozenset(auths), salt or "", magic
+        self.known: dict[str, bool] = {}
+
+    def shows(self, path: str) -> bool:
+        out = self.known.get(path)
+        if out is None:
+            out = self.known[path] = path == self.magic or any(self.start + x in self.auths for x in path_labels(path))
+        return out
+
+    def _walk(self, value, path: str, holes: dict[str, Hole]):
+        if isinstance(value, dict) and value:
+            return {k: self._walk(v, f"{path}{SEPARATOR}{k}" if path else k, holes) for k, v in value.items()}
+        if isinstance(value, list) and value:
+            return [self._walk(v, f"{path}[{i}]", holes) for i, v in enumerate(value)]
+        return value if self.shows(path) else holes.setdefault(text_of(value) or "", Hole(len(holes)))
+
+    def __call__(self, texts: Iterable[str | None]) -> list[str | None]:
+        texts = list(texts)
+        if self.start + RAW_DATA in self.auths:
+            return texts
+        holes: dict[str, Hole] = {}
+        documents = [loads(t) for t in texts]
+        walked = [None if d is None else self._walk(d, "", holes) for d in documents]
+        hashes = hash_texts(list(holes), self.salt)
+        if len(self.known) > PATHS:
+            self.known.clear()
+        return [t if w is None else dumps(w, hashes) for t, w in zip(texts, walked)]
 
 
 def mask_document(text: str | None, dataset: str, auths: set[str], salt: str | None = None, magic: str = "__id__") -> str | None:
-    """Fields none of whose first three levels is authorised become MASKED_ and a hash."""
-    if f"{label(dataset)}_{RAW_DATA}" in auths:
-        return text
-    document = loads(text)
-    if document is None:
-        return text
-    out = {}
-    for path, value in flatten(document).items():
-        known = path == magic or any(f"{label(dataset)}_{x}" in auths for x in path_labels(path))
-        out[path] = value if known else MASK + hash_text(text_of(value), salt)
-    return dumps(unflatten(out))
+    """Of one document; see ``Masking``."""
+    return Masking(dataset, auths, salt, magic)([text])[0]
 
 
 def fields_match(text: str | None, wanted: dict[str, str]) -> bool:
@@ -121,44 +184,48 @@ def fields_match(text: str | None, wanted: dict[str, str]) -> bool:
 
 
 def project(value: Column, patterns: list[str]) -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda t: project_document(t, patterns)), "string")(value)
+    keep = Projection(patterns)
+    return F.pandas_udf(lambda s: s.map(keep), "string")(value)
 
 
 def mask(value: Column, dataset: str, auths: set[str], salt: str | None = None, magic: str = "__id__") -> Column:
-    return F.pandas_udf(lambda s: s.map(lambda t: mask_document(t, dataset, auths, salt, magic)), "string")(value)
+    masking = Masking(dataset, auths, salt, magic)
+    return F.pandas_udf(lambda s: pd.Series(masking(s), index=s.index, dtype=object), "string")(value)
 
 
 def where_fields(value: Column, wanted: dict[str, str]) -> Column:
     return F.pandas_udf(lambda s: s.map(lambda t: fields_match(t, wanted)).astype(bool), "boolean")(value)
 
 
-def masked_scalar(value: Column, labels: Column, auths: set[str], salt: str | None = None) -> Column:
-    """A value that is no JSON: an administrator without another of its labels sees its hash only."""
-    from corvane.functions.hashing import hashed
-
+def hidden(labels: Column, auths: set[str]) -> Column:
+    """Whether a value that is no JSON is seen as its hash only: by an administrator without another of its labels."""
     rest = F.array(*[F.lit(a) for a in sorted(auths - {ADM})]).cast("array<string>")
-    hidden = F.lit(ADM in auths) & F.array_contains(labels, ADM) & ~F.arrays_overlap(labels, rest)
-    return F.when(hidden, F.concat(F.lit(MASK), hashed(value, salt))).otherwise(value)
+    return F.lit(ADM in auths) & F.array_contains(labels, ADM) & ~F.arrays_overlap(labels, rest)
 
 
 def flat_rows(raw: DataFrame, keys: list[str], value: str) -> DataFrame:
     """(keys, path, text, kind): a row for each scalar of each document; kind is n, s, b, or z for null.
 
-    Rows whose value is no JSON object or array have no row."""
+    Rows whose value is no JSON object or array have no row. Keys are taken as Arrow columns; Python sees the
+    documents alone."""
     types = dict(raw.dtypes)
 
-    def run(frames):
-        for frame in frames:
-            out = {c: [] for c in [*keys, "path", "text", "kind"]}
-            for row in frame.itertuples(index=False):
-                document = loads(row[len(keys)])
-                for path, scalar in flatten(document).items() if document else ():
-                    for k, key in enumerate(keys):
-                        out[key].append(row[k])
-                    out["path"].append(path)
-                    out["text"].append(text_of(scalar))
-                    out["kind"].append("z" if scalar is None else "n" if isinstance(scalar, Lexeme) else "b" if isinstance(scalar, bool) else "s")
-            yield pd.DataFrame(out)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, path, text, kind = [], [], [], []
+            for i, source in enumerate(batch.column(len(keys)).to_pylist()):
+                document = loads(source)
+                if not document:
+                    continue
+                flat = flatten(document)
+                row += [i] * len(flat)
+                path += flat
+                for scalar in flat.values():
+                    text.append(text_of(scalar))
+                    kind.append("z" if scalar is None else "n" if isinstance(scalar, Lexeme) else "b" if isinstance(scalar, bool) else "s")
+            at = pa.array(row, pa.int64())
+            columns = [batch.column(k).take(at) for k in range(len(keys))]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(path, pa.string()), pa.array(text, pa.string()), pa.array(kind, pa.string())], [*keys, "path", "text", "kind"])
 
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", path string, text string, kind string"
-    return raw.select(*keys, value).mapInPandas(run, schema)
+    return raw.select(*keys, value).mapInArrow(run, schema)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import unicodedata
 from decimal import Decimal, InvalidOperation
 
 from pyspark.sql import Column
@@ -50,10 +51,19 @@ def iso_instant(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss'Z'")
 
 
-def strip_accents(text: Column) -> Column:
-    """Lower case without the accents of Latin letters."""
-    accented, plain = "àáâãäåçèéêëìíîïñòóôõöùúûüýÿ", "aaaaaaceeeeiiiinooooouuuuyy"
-    return F.translate(F.lower(text), accented, plain)
+_accented = [c for c in map(chr, [*range(0xC0, 0x250), *range(0x370, 0x530), *range(0x1E00, 0x2000)]) if c == c.lower() and unicodedata.normalize("NFD", c) != c]
+_MARKS = "".join(map(chr, range(0x300, 0x370)))
+_plain = "".join("".join(x for x in unicodedata.normalize("NFD", c) if not unicodedata.combining(x))[:1] for c in _accented)
+
+
+def normalize(text: Column) -> Column:
+    """Lower case without accents, of Latin, Greek and Cyrillic letters and of combining marks."""
+    return F.translate(F.lower(text), "".join(_accented) + _MARKS, _plain)
+
+
+def normal_terms(text: Column) -> Column:
+    """The whole value as one normal term: an index tokenizer for fields that are not taken apart."""
+    return F.array(normalize(F.trim(text)))
 
 
 def is_number(text: str) -> bool:
@@ -124,3 +134,14 @@ def term_predicate(term: Column, kind: Column, reverse: Column, pattern: str) ->
     if pattern[:1] in ("*", "?"):
         return (kind == STRING) & wildcard(reverse, pattern[::-1])
     return wildcard(term, pattern)
+
+
+def way_predicate(pattern: str, way: str | None = None) -> Column:
+    """The same on rows that are kept in two directions: forward ones by term, backward ones by term_rev. Which one is looked at
+    depends on the pattern, unless ``way`` is given."""
+    leading = pattern[:1] in ("*", "?")
+    if leading and pattern[-1:] in ("*", "?"):
+        raise ValueError("a term can't begin and end with a wildcard")
+    way = way or ("b" if leading else "f")
+    own = (wildcard(F.col("term_rev"), pattern[::-1]) if way == "b" else wildcard(F.col("term"), pattern)) & ((F.col("term_type") == STRING) if leading else F.lit(True))
+    return (F.col("way") == way) & own

@@ -1,16 +1,11 @@
-"""Relations of the index, each declared once over the raw documents.
-
-blobs     (dataset, key, type, properties, labels, value, ts)
-postings  (dataset, doc_id, field, term_type, term, term_rev, term_num, labels, n)
-counts    (dataset, field, term_type, term, term_num, labels, n_docs)
-hashes    (dataset, field, hash, doc_id)
-"""
+"""Relations of the index, each declared once over the raw documents; see ``tables`` for their columns."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions import text as T
@@ -37,11 +32,11 @@ def values(raw: DataFrame, keep: Column | None = None) -> DataFrame:
     return flat.select("dataset", "doc_id", "path", T.general_field(F.col("path")).alias("field"), "text", kind.cast("tinyint").alias("term_type"))
 
 
-def occurrences(of: DataFrame) -> DataFrame:
+def occurrences(of: DataFrame, tokenizer: Callable[[Column], Column] = T.tokens) -> DataFrame:
     """(dataset, doc_id, field, term_type, term), one row an occurrence: tokens of strings, typed values whole.
     What looks like base64 has no tokens, and empty terms are dropped."""
     plain = of.withColumn("trimmed", F.trim("text"))
-    words = F.when(F.col("term_type") != T.STRING, F.array("trimmed")).when(T.looks_base64(F.col("trimmed")), F.array().cast("array<string>")).otherwise(T.tokens(F.col("trimmed")))
+    words = F.when(F.col("term_type") != T.STRING, F.array("trimmed")).when(T.looks_base64(F.col("trimmed")), F.array().cast("array<string>")).otherwise(tokenizer(F.col("trimmed")))
     return plain.select("dataset", "doc_id", "field", "term_type", F.explode(words).alias("term")).where("term <> ''")
 
 
@@ -50,13 +45,13 @@ def _dataset_labels(paths: Column) -> Column:
     return F.transform(paths, lambda x: F.concat(start, x))
 
 
-def postings(of: DataFrame) -> DataFrame:
+def postings(of: DataFrame, tokenizer: Callable[[Column], Column] = T.tokens) -> DataFrame:
     """Occurrences counted by document, field and term; the partial counts are made before the shuffle."""
-    counted = occurrences(of).groupBy("dataset", "doc_id", "field", "term_type", "term").agg(F.count("*").alias("n"))
+    counted = occurrences(of, tokenizer).groupBy("dataset", "doc_id", "field", "term_type", "term").agg(F.count("*").alias("n"))
     fields = _dataset_labels(path_labels_column(F.col("field")))
     document = F.concat(label_column(F.col("dataset")), F.lit("_"), label_column(F.col("doc_id")))
     labels = F.array_distinct(F.concat(F.array(F.lit(ADM)), fields, F.array(document)))
-    return counted.select("dataset", "doc_id", "field", "term_type", "term", F.when(F.col("term_type") == T.STRING, F.reverse("term")).alias("term_rev"), T.term_number(F.col("term"), F.col("term_type")).alias("term_num"), labels.alias("labels"), "n")
+    return counted.select("dataset", "doc_id", "field", "term_type", "term", T.term_number(F.col("term"), F.col("term_type")).alias("term_num"), labels.alias("labels"), "n")
 
 
 def counts(of: DataFrame) -> DataFrame:
@@ -74,14 +69,16 @@ def hashes(of: DataFrame) -> DataFrame:
 def blobs(raw: DataFrame) -> DataFrame:
     start = label_column(F.col("dataset"))
     labels = F.array_distinct(F.array(F.lit(ADM), F.concat(start, F.lit(f"_{RAW_DATA}")), F.concat(start, F.lit("_"), label_column(F.col("doc_id")))))
-    return raw.select("dataset", F.col("doc_id").alias("key"), F.lit("JSO").alias("type"), F.array().cast("array<string>").alias("properties"), labels.alias("labels"), F.col("json").alias("value"), F.current_timestamp().alias("ts"))
+    return raw.select("dataset", F.col("doc_id").alias("key"), F.lit("JSO").alias("type"), F.lit("JSO").alias("kind"), F.array().cast("array<string>").alias("properties"), labels.alias("labels"), F.col("json").alias("value"), F.current_timestamp().alias("ts"))
 
 
-def build(raw: DataFrame, keep: Column | None = None) -> Index:
-    """From (dataset, doc_id, json); of several rows of a document one counts."""
-    raw = raw.select("dataset", F.col("doc_id").cast("string").alias("doc_id"), "json").dropDuplicates(["dataset", "doc_id"])
+def build(raw: DataFrame, keep: Column | None = None, tokenizer: Callable[[Column], Column] = T.tokens, distinct: bool = True) -> Index:
+    """From (dataset, doc_id, json); of several rows of a document the last counts, unless they are ``distinct`` already."""
+    raw = raw.select("dataset", F.col("doc_id").cast("string").alias("doc_id"), "json")
+    if distinct:
+        raw = latest(raw.withColumn("_place", F.monotonically_increasing_id()), ["dataset", "doc_id"], ["_place"]).drop("_place")
     of = values(raw, keep)
-    found = postings(of)
+    found = postings(of, tokenizer)
     return Index(blobs(raw), found, counts(found), hashes(of))
 
 
@@ -103,6 +100,11 @@ def sum_spans(table: DataFrame, keys: list[str], value: str) -> DataFrame:
     return table.groupBy(*keys).agg(F.sum(F.coalesce(parts[0].try_cast("bigint"), F.lit(0).cast("bigint"))).alias("n"), F.flatten(F.collect_list(F.slice(parts, 2, 1 << 30))).alias("spans"))
 
 
+def array_parts(value: Column) -> Column:
+    """The NUL-separated, trimmed, non-empty parts of a value."""
+    return F.filter(F.transform(F.split(value, "\0"), lambda x: F.trim(x)), lambda x: x != "")
+
+
 def union_arrays(table: DataFrame, keys: list[str], value: str, name: str = "value") -> DataFrame:
     """Sorted set of the NUL-separated, trimmed, non-empty parts by key."""
     parts = table.select(*keys, F.explode(F.split(F.col(value), "\0")).alias("part")).select(*keys, F.trim("part").alias("part")).where("part <> ''")
@@ -122,8 +124,3 @@ def age_off(ts: Column, ttl: float, unit: str, now: Column) -> Column:
     if unit not in sizes:
         raise ValueError(f"unknown unit {unit}")
     return (ts >= now - F.make_dt_interval(secs=F.lit(ttl * sizes[unit]).cast("decimal(18,6)"))) & (ts < now)
-
-
-def ranked(table: DataFrame, keys: list[str], by: list[Column], n: int) -> DataFrame:
-    """The first n rows of each key."""
-    return table.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*by))).where(F.col("_rank") <= n).drop("_rank")

@@ -1,114 +1,29 @@
-"""Stores over tables: blobs, terms, cache, and the document store that joins them.
-
-A store is a folder of Parquet tables partitioned by dataset, so dropping or rewriting a
-dataset touches its partition alone. Reads return DataFrames and run nothing."""
+"""Stores over tables: blobs, terms, cache, and the document store that joins them. Reads return DataFrames and run
+nothing, but where it says so; see ``tables`` for how rows are kept."""
 
 from __future__ import annotations
 
-import time
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
+from concurrent.futures import Future, ThreadPoolExecutor
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.admin import STORES
 from corvane.functions import hashing, jsonops
 from corvane.functions import text as T
-from corvane.functions.security import ADM, RAW_DATA, RAW_FILE, label, narrow, visible
+from corvane.functions.security import ADM, RAW_DATA, RAW_FILE, label, label_column, narrow, visible
 from corvane.operators import index as ix
+from corvane.operators.tables import FORWARD, SCHEMAS, Tables, both_ways
 from corvane.plans.language import build
 from corvane.plans.planner import Planner
 
-SCHEMAS = {
-    "blobs": "dataset string, key string, type string, properties array<string>, labels array<string>, value string, content binary, ts timestamp",
-    "postings": "dataset string, doc_id string, field string, term_type tinyint, term string, term_rev string, term_num decimal(38,18), labels array<string>, n bigint",
-    "counts": "dataset string, field string, term_type tinyint, term string, term_num decimal(38,18), labels array<string>, n_docs bigint",
-    "hashes": "dataset string, field string, hash string, doc_id string",
-    "cache": "dataset string, cache_id string, key string, value string, ts timestamp",
-}
-
-
-class Tables:
-    """Lifecycle of the tables of one store."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        where = jvm.org.apache.hadoop.fs.Path(path)
-        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
-
-    def place(self, name: str) -> str:
-        return f"{self.path}/{name}"
-
-    def exists(self, name: str) -> bool:
-        fs, where = self._fs(self.place(name))
-        return fs.exists(where)
-
-    def read(self, name: str) -> DataFrame:
-        if not self.exists(name):
-            return self.spark.createDataFrame([], SCHEMAS[name])
-        return self.spark.read.schema(SCHEMAS[name]).parquet(self.place(name))
-
-    def append(self, name: str, rows: DataFrame) -> None:
-        self._write(name, rows, "append")
-
-    def _write(self, name: str, rows: DataFrame, mode: str) -> None:
-        kinds = [x.strip().split(" ", 1) for x in _columns(SCHEMAS[name])]
-        for c, kind in kinds:
-            if c not in rows.columns:
-                rows = rows.withColumn(c, F.lit(None).cast(kind))
-        order = ["dataset", "term"] if "term" in [c for c, _ in kinds] else ["dataset", "key"] if "key" in [c for c, _ in kinds] else ["dataset"]
-        # sorted files: a lookup reads the row groups whose range holds the term or key
-        rows.select(*[F.col(c).cast(k).alias(c) for c, k in kinds]).sortWithinPartitions(*order).write.mode(mode).partitionBy("dataset").option("partitionOverwriteMode", "dynamic").parquet(self.place(name))
-
-    def replace_datasets(self, name: str, rows: DataFrame) -> None:
-        """Overwrite the partitions of the datasets that rows have."""
-        self._write(name, rows, "overwrite")
-
-    def remove_dataset(self, name: str, dataset: str) -> None:
-        escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(dataset)
-        fs, where = self._fs(f"{self.place(name)}/dataset={escaped}")
-        if fs.exists(where):
-            fs.delete(where, True)
-
-    def rewrite(self, name: str, dataset: str, keep: Column) -> None:
-        """Keep the rows of a dataset that meet a condition, through a table beside it."""
-        kept = self.read(name).where(F.col("dataset") == dataset).where(keep)
-        beside = f"{self.place(name)}_rewritten_{time.time_ns()}"
-        kept.write.parquet(beside)
-        again = self.spark.read.parquet(beside)
-        if again.isEmpty():
-            self.remove_dataset(name, dataset)
-        else:
-            self.replace_datasets(name, again)
-        fs, where = self._fs(beside)
-        fs.delete(where, True)
-
-    def compact(self, name: str, files: int = 1) -> None:
-        """Fewer, larger files for each dataset."""
-        for row in self.read(name).select("dataset").distinct().toLocalIterator():
-            kept = self.read(name).where(F.col("dataset") == row.dataset)
-            beside = f"{self.place(name)}_compacted_{time.time_ns()}"
-            kept.coalesce(files).write.parquet(beside)
-            self.replace_datasets(name, self.spark.read.parquet(beside).coalesce(files))
-            fs, where = self._fs(beside)
-            fs.delete(where, True)
-
-    def truncate(self, name: str) -> None:
-        fs, where = self._fs(self.place(name))
-        if fs.exists(where):
-            fs.delete(where, True)
-
-
-def _columns(schema: str) -> list[str]:
-    out, depth, start = [], 0, 0
-    for i, c in enumerate(schema):
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            out.append(schema[start:i])
-            start = i + 1
-    return [*out, schema[start:]]
+KINDS = ("STR", "JSO", "FIL", "ARR")
+
+
+def _labels(rows: DataFrame, name: str) -> Column:
+    none = F.array().cast("array<string>")
+    return F.coalesce(F.col(name), none) if name in rows.columns else none
 
 
 class BlobStore:
@@ -116,33 +31,42 @@ class BlobStore:
         self.tables = tables
 
     def put(self, rows: DataFrame, kind: str) -> None:
-        """(dataset, key, value[, labels, properties]) as blobs of a kind: STR, JSO, FIL (value binary) or ARR."""
-        if kind not in ("STR", "JSO", "FIL", "ARR"):
+        """(dataset, key, value[, labels, properties, name]) as blobs of a kind: STR, JSO, FIL (value binary) or ARR.
+        Of blobs of one kind and key the last put counts, of one put the last row; arrays are united."""
+        if kind not in KINDS:
             raise ValueError(f"unknown kind {kind}")
         raw = F.lit(RAW_FILE if kind == "FIL" else RAW_DATA)
-        own = F.coalesce(F.col("labels"), F.array().cast("array<string>")) if "labels" in rows.columns else F.array().cast("array<string>")
-        start = F.upper(F.regexp_replace("dataset", r"\s+|[^a-zA-Z0-9_]", "_"))
-        labels = F.array_distinct(F.concat(own, F.array(F.lit(ADM), F.concat_ws("_", start, raw))))
-        out = rows.withColumn("labels", labels).withColumn("ts", F.current_timestamp())
+        labels = F.array_distinct(F.concat(_labels(rows, "labels"), F.array(F.lit(ADM), F.concat_ws("_", label_column(F.col("dataset")), raw))))
+        out = rows.withColumn("labels", labels).withColumn("ts", F.current_timestamp()).withColumn("kind", F.lit(kind))
         if kind == "FIL":
-            size = F.length("value").cast("string")
-            out = out.withColumn("properties", F.array(F.col("name") if "name" in rows.columns else F.col("key"), size)).withColumn("content", F.col("value")).withColumn("value", F.lit(None).cast("string"))
-        self.tables.append("blobs", out.withColumn("type", hashing.array_shard("key") if kind == "ARR" else F.lit(kind)))
+            name = F.col("name") if "name" in rows.columns else F.col("key")
+            out = out.withColumn("properties", F.array(name, F.length("value").cast("string"))).withColumn("content", F.col("value")).withColumn("value", F.lit(None).cast("string"))
+        out = out.withColumn("type", hashing.array_shard("key") if kind == "ARR" else F.lit(kind))
+        if kind != "ARR":
+            out = ix.latest(out.withColumn("_place", F.monotonically_increasing_id()), ["dataset", "key"], ["_place"]).drop("_place")
+        version = self.tables.begin()
+        self.tables.append("blobs", out.withColumn("version", F.lit(version)))
+        self.tables.done(version)
 
     def get(self, auths: set[str], dataset: str, kind: str, keys: DataFrame | Iterable[str] | None = None, fields: list[str] | None = None, wanted: dict[str, str] | None = None, ordered: bool = False) -> DataFrame:
-        """(key, type, properties, labels, value, content): projection, then masking, then the test of
-        field values, in this order."""
+        """(key, type, properties, labels, value, content): projection, then masking, then the test of field values, in
+        this order. Who sees a blob that is no JSON by ADM alone gets a hash in place of its value, content or array."""
         own = narrow(auths, dataset)
-        out = self.tables.read("blobs").where(F.col("dataset") == dataset).where(F.col("type").startswith("ARR") if kind == "ARR" else F.col("type") == kind)
+        out = self.tables.read("blobs").where((F.col("dataset") == dataset) & (F.col("kind") == kind)).drop("dataset", "kind")
         out = out.where(visible(F.col("labels"), own))
         if isinstance(keys, DataFrame):
             out = out.join(keys.select(F.col(keys.columns[0]).cast("string").alias("key")), "key", "left_semi")
         elif keys is not None:
             out = out.where(F.col("key").isin(sorted(keys)))
         if kind == "ARR":
-            out = out.select("key", "labels", F.split("value", "\0").alias("v")).groupBy("key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list(F.filter(F.transform("v", lambda x: F.trim(x)), lambda x: x != ""))))).alias("value"))
+            parts = ix.array_parts(F.col("value"))
+            # what is masked is the union of the cells that share labels, as they are one cell
+            cells = out.groupBy("key", "type", F.array_sort("labels").alias("labels")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set(parts)))).alias("value"))
+            masked = F.when(jsonops.hidden(F.col("labels"), own), F.array(F.concat(F.lit(jsonops.MASK), hashing.hashed(F.array_join("value", "\0"))))).otherwise(F.col("value"))
+            cells = cells.withColumn("value", masked)
+            out = cells.groupBy("key", "type").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("labels")))).alias("labels"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("value")))).alias("value"))
         else:
-            out = ix.latest(out.drop("dataset"), ["key"], ["ts"])
+            out = ix.latest(out, ["key"], ["version"]).drop("version", "ts")
             if kind == "JSO":
                 if fields:
                     out = out.withColumn("value", jsonops.project(F.col("value"), fields))
@@ -151,43 +75,62 @@ class BlobStore:
                 if wanted:
                     out = out.where(jsonops.where_fields(F.col("value"), wanted))
             else:
-                out = out.withColumn("value", jsonops.masked_scalar(F.col("value"), F.col("labels"), own))
+                hidden = jsonops.hidden(F.col("labels"), own)
+                digest = F.concat(F.lit(jsonops.MASK), hashing.hashed_bytes(F.coalesce("content", F.encode("value", "UTF-8"))))
+                out = out.withColumn("value", F.when(hidden, digest).otherwise(F.col("value"))).withColumn("content", F.when(~hidden, F.col("content")))
         return out.orderBy("key") if ordered else out
 
+    def strings(self, auths: set[str], dataset: str, **how) -> DataFrame:
+        return self.get(auths, dataset, "STR", **how)
+
+    def files(self, auths: set[str], dataset: str, **how) -> DataFrame:
+        """(key, name, size, value, content, labels)."""
+        out = self.get(auths, dataset, "FIL", **how)
+        return out.select("key", F.get("properties", 0).alias("name"), F.get("properties", 1).cast("bigint").alias("size"), "value", "content", "labels")
+
+    def arrays(self, auths: set[str], dataset: str, **how) -> DataFrame:
+        return self.get(auths, dataset, "ARR", **how)
+
 
 class TermStore:
     def __init__(self, tables: Tables):
         self.tables = tables
 
     def put(self, rows: DataFrame) -> None:
-        """(dataset, doc_id, field, term, n[, term_type, labels]); n has to be positive. Counts follow."""
-        rows = rows.where("n > 0 and term is not null and term <> ''")
-        kind = F.col("term_type") if "term_type" in rows.columns else F.lit(T.STRING)
-        labels = F.col("labels") if "labels" in rows.columns else F.array().cast("array<string>")
-        rows = rows.withColumn("term_type", kind.cast("tinyint")).withColumn("labels", labels)
-        self.tables.append("postings", rows.withColumn("term_rev", F.when(F.col("term_type") == T.STRING, F.reverse("term"))).withColumn("term_num", T.term_number(F.col("term"), F.col("term_type"))))
-
-    def terms(self, auths: set[str], dataset: str, pattern: str, fields: list[str] | None = None, docs: DataFrame | None = None, ordered: bool = False) -> DataFrame:
-        """Postings of a term or wildcard, of some documents if given."""
-        out = self._scan("postings", auths, dataset, fields).where(T.term_predicate(F.col("term"), F.col("term_type"), F.col("term_rev"), T.compact(pattern)))
-        return self._finish(out, docs, ordered)
+        """(dataset, doc_id, field, term, n[, term_type, labels, field_labels]): occurrences of terms in documents, put by hand.
+        Each row adds n to its term's occurrences and 1 to its documents. n has to be positive, else the write
+        fails as a whole; null and empty terms are left out. Postings have both sorts of labels, counts the field's."""
+        rows = rows.where("term is not null and term <> ''")
+        kind = (F.col("term_type") if "term_type" in rows.columns else F.lit(T.STRING)).cast("tinyint")
+        positive = F.when(F.col("n") > 0, F.col("n").cast("bigint")).otherwise(F.raise_error(F.lit("n has to be positive")).cast("bigint"))
+        field = _labels(rows, "field_labels")
+        rows = rows.select("dataset", F.col("doc_id").cast("string").alias("doc_id"), "field", F.col("term").cast("string").alias("term"), kind.alias("term_type"), T.term_number(F.col("term").cast("string"), kind).alias("term_num"), positive.alias("n"), F.array_distinct(F.concat(_labels(rows, "labels"), field)).alias("labels"), field.alias("field_labels"))
+        self.tables.append("postings", both_ways(rows))
+        self.tables.append("counts", both_ways(rows.drop("labels").withColumnRenamed("field_labels", "labels").withColumn("n_docs", F.lit(1))))
+
+    def terms(self, auths: set[str], dataset: str, pattern: str, fields: list[str] | None = None, docs: DataFrame | None = None, ordered: bool = False, way: str | None = None) -> DataFrame:
+        """(doc_id, field, term_type, term, term_num, labels, n): postings of a term or wildcard, of some documents if given.
+        With ``way`` the rows of one direction that match, whatever the pattern."""
+        found = self._scan("postings", auths, dataset, fields).where(T.way_predicate(T.compact(pattern), way))
+        return self._finish(found, docs, ordered)
 
     def terms_between(self, auths: set[str], dataset: str, low=None, high=None, fields: list[str] | None = None, docs: DataFrame | None = None, ordered: bool = False) -> DataFrame:
         """Postings from low up to high, high left out; bounds are both texts or both numbers. An open range of numbers
         also holds what sorts after them: strings that begin with a letter."""
-        return self._finish(self._scan("postings", auths, dataset, fields).where(between(low, high)), docs, ordered)
+        return self._finish(self._scan("postings", auths, dataset, fields).where((F.col("way") == FORWARD) & between(low, high)), docs, ordered)
 
-    def cardinality(self, auths: set[str], dataset: str, pattern: str, fields: list[str] | None = None) -> DataFrame:
-        """(field, term, n_docs) of a term or wildcard."""
-        found = self._counted(self.terms(auths, dataset, pattern, fields))
-        return found
+    def counts(self, auths: set[str], dataset: str, pattern: str, fields: list[str] | None = None) -> DataFrame:
+        """(field, term_type, term, n_docs) of a term or wildcard, from the counts that are kept."""
+        return self._summed(self._scan("counts", auths, dataset, fields).where(T.way_predicate(T.compact(pattern))))
 
-    def cardinality_between(self, auths: set[str], dataset: str, low=None, high=None, fields: list[str] | None = None) -> DataFrame:
-        return self._counted(self.terms_between(auths, dataset, low, high, fields))
+    def counts_between(self, auths: set[str], dataset: str, low=None, high=None, fields: list[str] | None = None) -> DataFrame:
+        return self._summed(self._scan("counts", auths, dataset, fields).where((F.col("way") == FORWARD) & between(low, high)))
 
     @staticmethod
-    def _counted(postings: DataFrame) -> DataFrame:
-        return postings.groupBy("field", "term_type", "term").agg(F.count_distinct("doc_id").alias("n_docs"))
+    def _summed(rows: DataFrame) -> DataFrame:
+        return rows.groupBy("field", "term_type", "term").agg(F.sum("n_docs").alias("n_docs")).where("n_docs > 0")
+
+    cardinality, cardinality_between = counts, counts_between
 
     def _scan(self, name: str, auths: set[str], dataset: str, fields: list[str] | None) -> DataFrame:
         out = self.tables.read(name).where(F.col("dataset") == dataset).where(visible(F.col("labels"), narrow(auths, dataset)))
@@ -196,7 +139,9 @@ class TermStore:
     @staticmethod
     def _finish(out: DataFrame, docs: DataFrame | None, ordered: bool) -> DataFrame:
         if docs is not None:
-            out = out.join(docs.select("doc_id"), "doc_id", "left_semi")
+            out = out.join(docs.select(F.col("doc_id").cast("string").alias("doc_id")), "doc_id", "left_semi")
+        # what was put several times is one posting
+        out = out.groupBy("doc_id", "field", "term_type", "term", "term_num", F.array_sort("labels").alias("labels")).agg(F.sum("n").alias("n"))
         return out.orderBy("term_type", "term_num", "term", "doc_id") if ordered else out
 
 
@@ -226,21 +171,30 @@ class Cache:
     """Sets of values kept for some hours, read in order from any value on."""
 
     HOURS = 3
+    _pool = ThreadPoolExecutor(3)
 
     def __init__(self, tables: Tables):
         self.tables = tables
 
-    def write(self, dataset: str, cache_id: str, values: DataFrame, hashed: bool = False) -> None:
+    def write(self, dataset: str, cache_id: str, values: DataFrame, hashed: bool = False, delegate_after: int | None = None) -> Future | None:
+        """Put the distinct values of a column; null counts as empty. With ``delegate_after`` the first so many in order are
+        written at once and the rest by a thread, whose future is returned. ``hashed`` keys are hashes."""
         value = F.coalesce(F.col(values.columns[0]).cast("string"), F.lit(""))
-        rows = values.select(F.lit(dataset).alias("dataset"), F.lit(cache_id).alias("cache_id"), (hashing.hashed(value) if hashed else value).alias("key"), (value if hashed else F.lit("")).alias("value"), F.current_timestamp().alias("ts"))
-        self.tables.append("cache", rows.dropDuplicates(["key"]))
+        rows = values.select(F.lit(dataset).alias("dataset"), F.lit(cache_id).alias("cache_id"), (hashing.hashed(value) if hashed else value).alias("key"), (value if hashed else F.lit("")).alias("value")).distinct().withColumn("ts", F.current_timestamp())
+        if delegate_after is None:
+            self.tables.append("cache", rows)
+            return None
+        first = page(rows, "key", limit=delegate_after)
+        last = first.agg(F.max("key")).first()[0]
+        self.tables.append("cache", first)
+        rest = rows.where(F.col("key") > last) if last is not None else rows
+        return self._pool.submit(self.tables.append, "cache", rest)
 
     def read(self, dataset: str, cache_id: str, start: str | None = None, limit: int | None = None, now: Column | None = None) -> DataFrame:
         """(key, value) in order from ``start`` on; ``limit`` is the size of a page."""
         out = self.tables.read("cache").where((F.col("dataset") == dataset) & (F.col("cache_id") == cache_id))
         now = F.current_timestamp() + F.expr("interval 1 second") if now is None else now
-        out = page(out.where(ix.age_off(F.col("ts"), self.HOURS, "HOURS", now)).select("key", "value").distinct(), "key", start, limit)
-        return out
+        return page(out.where(ix.age_off(F.col("ts"), self.HOURS, "HOURS", now)).select("key", "value").distinct(), "key", start, limit)
 
     def has_data(self, dataset: str, cache_id: str) -> bool:
         return not self.read(dataset, cache_id).isEmpty()
@@ -257,66 +211,142 @@ def page(rows: DataFrame, key: str, start: str | None = None, limit: int | None
     return rows.limit(limit) if limit is not None else rows
 
 
+SINKS = ("blobs", "postings", "counts", "hashes")
+
+
 class DataStore:
-    """JSON documents: stored, indexed, queried, and read as far as somebody may."""
+    """JSON documents: stored, indexed, queried, and read as far as somebody may.
+
+    With a registry and a user's name every access is checked against the user's permissions."""
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.tables = Tables(spark, path)
+    def __init__(self, spark: SparkSession, path: str, registry=None, user: str | None = None):
+        self.tables = Tables(spark, path, registry, user)
         self.blobs, self.terms, self.cache = BlobStore(self.tables), TermStore(self.tables), Cache(self.tables)
 
     def is_ready(self) -> bool:
-        return any(self.tables.exists(n) for n in SCHEMAS)
+        return any(self.tables.exists(n) for n in SINKS)
+
+    def create(self) -> bool:
+        """All tables, empty; False if one was there."""
+        return all([self.tables.create(n) for n in SCHEMAS])
 
     def destroy(self) -> None:
         for name in SCHEMAS:
-            self.tables.truncate(name)
-
-    truncate = destroy
-
-    def persist(self, raw: DataFrame, keep: Column | None = None, sinks: tuple[str, ...] = ("blobs", "postings", "counts", "hashes")) -> None:
-        """(dataset, doc_id, json) written to all tables. Documents of the same id are replaced:
-        the datasets that raw has are read, joined and overwritten."""
-        if self.tables.exists("blobs"):
-            ids = raw.select("dataset", F.col("doc_id").cast("string").alias("key"))
-            datasets = raw.select("dataset").distinct()
-            old = self.tables.read("blobs").where("type = 'JSO'").join(datasets, "dataset", "left_semi").join(ids, ["dataset", "key"], "left_anti")
-            raw = raw.select("dataset", F.col("doc_id").cast("string").alias("doc_id"), "json").unionByName(old.select("dataset", F.col("key").alias("doc_id"), F.col("value").alias("json")))
-        self._index(raw, keep, sinks)
-
-    def _index(self, raw: DataFrame, keep: Column | None, sinks: tuple[str, ...]) -> None:
-        beside = f"{self.tables.place('raw')}_{time.time_ns()}"
-        raw.write.parquet(beside)
-        spark = self.tables.spark
-        built = ix.build(spark.read.parquet(beside), keep)
-        if "postings" in sinks or "counts" in sinks:
-            self.tables.replace_datasets("postings", built.postings)
+            self.tables.delete(name)
+        self.tables._delete(f"{self.tables.path}/_log")
+
+    def truncate(self) -> None:
+        """No rows, but the tables and what is set for them stay."""
+        there = [n for n in SCHEMAS if self.tables.exists(n)]
+        for name in there:
+            self.tables.check("WRITE", name)
+            self.tables._delete(self.tables.place(name))
+            self.tables.spark.createDataFrame([], SCHEMAS[name]).write.parquet(self.tables.place(name))
+
+    def persist(self, raw: DataFrame, keep: Column | None = None, sinks: tuple[str, ...] = SINKS, order: str | None = None, tokenizer: Callable[[Column], Column] = T.tokens) -> int:
+        """(dataset, doc_id, json) written to some of the tables; the version of the write is returned.
+
+        Documents of the same id are replaced: of several in raw the last counts, by the column ``order`` if one is
+        named, else as they stand. What is written and read depends on raw and the documents that it replaces, not
+        on the size of the dataset, but for the keys of its documents. Other kinds of blobs and terms put by hand
+        stay. Rows with a null dataset or id are left out; json that is none is stored and not indexed."""
+        if wrong := set(sinks) - set(SINKS):
+            raise ValueError(f"unknown sinks {sorted(wrong)}")
+        for name in sinks:
+            self.tables.check("WRITE", name)
+        t = self.tables
+        version = t.begin()
+        beside = t.beside("raw")
+        by = F.col(order) if order else F.monotonically_increasing_id()
+        own = raw.select("dataset", F.col("doc_id").cast("string").alias("doc_id"), "json", by.alias("_by")).where("dataset is not null and doc_id is not null")
+        ix.latest(own.withColumn("_place", F.monotonically_increasing_id()), ["dataset", "doc_id"], ["_by", "_place"]).select("dataset", "doc_id", "json").write.parquet(beside)
+        staged = t.spark.read.parquet(beside)
+        replaced = self._replaced(staged, beside)
+        built = ix.build(staged, keep, tokenizer, distinct=False)
+        stamp = lambda rows: rows.withColumn("version", F.lit(version))
+        if "postings" in sinks:
+            t.append("postings", stamp(both_ways(built.postings)))
         if "counts" in sinks:
-            self.tables.replace_datasets("counts", ix.counts(self.tables.read("postings").join(spark.read.parquet(beside).select("dataset").distinct(), "dataset", "left_semi")))
+            added = built.counts
+            if replaced is not None:
+                old = t._current("postings").where((F.col("way") == FORWARD) & F.col("version").isNotNull()).join(replaced, ["dataset", "doc_id"], "left_semi")
+                added = added.unionByName(ix.counts(old).withColumn("n_docs", -F.col("n_docs")))
+            t.append("counts", stamp(both_ways(added)))
         if "hashes" in sinks:
-            self.tables.replace_datasets("hashes", built.hashes)
+            t.append("hashes", stamp(built.hashes))
         if "blobs" in sinks:
-            self.tables.replace_datasets("blobs", built.blobs)
-        fs, where = self.tables._fs(beside)
-        fs.delete(where, True)
-
-    def reindex(self, dataset: str, keep: Column | None = None) -> None:
-        """Postings, counts and hashes again from the blobs."""
-        raw = ix.latest(self.tables.read("blobs").where((F.col("dataset") == dataset) & (F.col("type") == "JSO")), ["dataset", "key"], ["ts"])
-        self._index(raw.select("dataset", F.col("key").alias("doc_id"), F.col("value").alias("json")), keep, ("postings", "counts", "hashes"))
+            t.append("blobs", stamp(built.blobs))
+        if replaced is not None and {"postings", "hashes"} & set(sinks):
+            t._write("stale", stamp(replaced), t.place("stale"))
+        t.done(version)
+        t._delete(beside)
+        t._delete(f"{beside}_ids")
+        return version
+
+    def _replaced(self, staged: DataFrame, beside: str) -> DataFrame | None:
+        """(dataset, doc_id) of staged documents that are indexed already, or None if there is none."""
+        found = None
+        for name, ids in (("blobs", F.col("key")), ("hashes", F.col("doc_id")), ("postings", F.col("doc_id"))):
+            if self.tables.exists(name):
+                known = self.tables._load(name).where(F.col("version").isNotNull() if name != "blobs" else F.col("kind") == "JSO").select("dataset", ids.alias("doc_id"))
+                known = staged.select("dataset", "doc_id").join(known, ["dataset", "doc_id"], "left_semi")
+                found = known if found is None else found.union(known)
+        if found is None:
+            return None
+        found.distinct().write.parquet(f"{beside}_ids")
+        ids = self.tables.spark.read.schema("dataset string, doc_id string").parquet(f"{beside}_ids")
+        return None if ids.isEmpty() else ids
+
+    def reindex(self, dataset: str, keep: Column | None = None, tokenizer: Callable[[Column], Column] = T.tokens) -> None:
+        """Postings, counts and hashes again from the blobs; terms put by hand go, as all of the dataset's."""
+        t = self.tables
+        raw = ix.latest(t._load("blobs").where((F.col("dataset") == dataset) & (F.col("kind") == "JSO")), ["dataset", "key"], ["version"])
+        beside = t.beside("raw")
+        raw.select("dataset", F.col("key").alias("doc_id"), F.col("value").alias("json")).write.parquet(beside)
+        for name in ("postings", "counts", "hashes"):
+            t.remove_dataset(name, dataset)
+        built = ix.build(t.spark.read.parquet(beside), keep, tokenizer, distinct=False)
+        version = t.begin()
+        for name, rows in (("postings", both_ways(built.postings)), ("counts", both_ways(built.counts)), ("hashes", built.hashes)):
+            t.append(name, rows.withColumn("version", F.lit(version)))
+        t.done(version)
+        t._delete(beside)
+
+    def compact(self) -> None:
+        """One current version of every row in files of even sizes; all datasets in one job for each table."""
+        t = self.tables
+        latest = t.begin()
+        for name in SCHEMAS:
+            if not t.exists(name) or name == "stale":
+                continue
+            t.check("ALTER_TABLE", name)
+            rows = t._current(name)
+            if name == "blobs":
+                whole = ix.latest(rows.where("kind <> 'ARR'"), ["dataset", "kind", "key"], ["version"])
+                rows = whole.unionByName(rows.where("kind = 'ARR'"))
+            elif name == "counts":
+                rows = rows.groupBy("dataset", "way", "field", "term_type", "term", "term_rev", "term_num", F.array_sort("labels").alias("labels")).agg(F.sum("n_docs").alias("n_docs"), F.max("version").alias("version")).where("n_docs > 0")
+            t._swap(name, rows, rebalanced=True)
+        t._delete(t.place("stale"))
+        for entry in t._list(f"{t.path}/_log"):
+            if not entry.startswith(f"{latest:012d}"):
+                t._delete(f"{t.path}/_log/{entry}")
+        t.done(latest)
 
     def remove(self, dataset: str) -> None:
         for name in SCHEMAS:
             self.tables.remove_dataset(name, dataset)
 
-    def _planner(self, auths: set[str], dataset: str, tokenize: bool) -> Planner:
+    def planner(self, auths: set[str], dataset: str, tokenize: bool = False) -> Planner:
         return Planner(self.tables.read("postings"), self.tables.read("counts"), dataset, auths, T.query_tokens if tokenize else None)
 
     def query(self, auths: set[str], dataset: str, text: str, tokenize: bool = False, among: DataFrame | None = None) -> DataFrame:
         """Sorted doc_id of a query."""
-        return self._planner(auths, dataset, tokenize).sorted_ids(build(text), among)
+        return self.planner(auths, dataset, tokenize).sorted_ids(build(text), among)
 
     def estimate(self, auths: set[str], dataset: str, text: str, tokenize: bool = False) -> int:
-        return self._planner(auths, dataset, tokenize).estimate(build(text))
+        """Documents that a query may have, from the counts; runs one job."""
+        return self.planner(auths, dataset, tokenize).estimate(build(text))
 
     def jsons(self, auths: set[str], dataset: str, fields: list[str] | None = None, ids: DataFrame | None = None, wanted: dict[str, str] | None = None, ordered: bool = False) -> DataFrame:
         return self.blobs.get(auths, dataset, "JSO", ids, fields, wanted, ordered)
@@ -325,7 +355,7 @@ class DataStore:
         """doc_id whose field has a value of this hash. Without auths labels are not looked at."""
         found = self.tables.read("hashes").where((F.col("dataset") == dataset) & (F.col("hash") == digest)).where(T.wildcard(F.col("field"), field) if field != T.compact(field) else F.col("field") == field)
         if auths is not None:
-            seen = self.tables.read("postings").where((F.col("dataset") == dataset) & visible(F.col("labels"), narrow(auths, dataset)))
+            seen = self.tables.read("postings").where((F.col("dataset") == dataset) & (F.col("way") == FORWARD) & visible(F.col("labels"), narrow(auths, dataset)))
             found = found.join(seen.select("doc_id", "field").distinct(), ["doc_id", "field"], "left_semi")
         return found.select("doc_id").distinct()
 
@@ -333,3 +363,16 @@ class DataStore:
         """The same for a value; dates as ISO instants, as they are indexed."""
         text = value.strftime("%Y-%m-%dT%H:%M:%SZ") if hasattr(value, "strftime") else str(value).lower() if isinstance(value, bool) else str(value)
         return self.match_hash(dataset, field, hashing.hash_text(text), auths)
+
+    # permissions of whole stores
+
+    def grant(self, user: str, store: str, permission: str) -> None:
+        """READ, WRITE or ALTER_TABLE on the tables of blobstore, termstore or cache, given by who may GRANT."""
+        for name in STORES[store]:
+            self.tables.check("GRANT", name)
+            self.tables.registry.grant(user, permission, name)
+
+    def revoke(self, user: str, store: str, permission: str) -> None:
+        for name in STORES[store]:
+            self.tables.check("GRANT", name)
+            self.tables.registry.revoke(user, permission, name)

@@ -17,8 +17,9 @@ def lines(spark: SparkSession, path: str, dataset: str, id_field: str, files: in
 
 
 def index_stream(docs: DataFrame, store: DataStore, checkpoint: str, available_now: bool = True):
-    """Persist each micro-batch. A batch that is done again replaces its own documents."""
-    writer = docs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: store.persist(batch))
+    """Persist each micro-batch, at the cost of the batch, not of what is stored. A batch that is done again replaces its
+    own documents."""
+    writer = docs.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda batch, _: store.persist(batch) and None)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 

@@ -168,7 +168,7 @@ def test_lifecycle(spark, tmp_path):
     assert ids(store.query(ALL, "a", "jack")) == ["1"] and ids(store.query(ALL, "a", "john")) == ["2"] and ids(store.query(ALL, "b", "jane")) == ["1"]
     store.reindex("a")
     assert ids(store.query(ALL, "a", "jack OR john")) == ["1", "2"]
-    store.tables.compact("postings")
+    store.compact()
     store.tables.rewrite("postings", "a", F.col("doc_id") != "2")
     assert ids(store.query(ALL, "a", "jack OR john")) == ["1"]
     store.remove("a")
@@ -181,12 +181,18 @@ def test_blobs_and_cache(spark, tmp_path):
     store = DataStore(spark, str(tmp_path / "s"))
     rows = lambda *r: spark.createDataFrame([("ds", *x) for x in r], "dataset string, key string, value string")
     store.blobs.put(rows(("k", "1\0002\0002"), ("k", " 3 \0"), ("j", "9")), "ARR")
-    assert [(r.key, r.value) for r in store.blobs.get({"ADM"}, "ds", "ARR", ordered=True).collect()] == [("j", ["9"]), ("k", ["1", "2", "3"])]
+    assert [(r.key, r.value) for r in store.blobs.get({"DS_RAW_DATA"}, "ds", "ARR", ordered=True).collect()] == [("j", ["9"]), ("k", ["1", "2", "3"])]
+    assert [(r.key, r.value) for r in store.blobs.arrays({"ADM"}, "ds", ordered=True).collect()] == [("j", ["MASKED_" + hashing.hash_text("9")]), ("k", ["MASKED_" + hashing.hash_text("1\0002\0003")])]
     store.blobs.put(rows(("s", "secret")), "STR")
     assert store.blobs.get({"DS_RAW_DATA"}, "ds", "STR").first().value == "secret"
     assert store.blobs.get({"ADM"}, "ds", "STR").first().value == "MASKED_" + hashing.hash_text("secret")
     store.blobs.put(spark.createDataFrame([("ds", "f", "a.bin", bytearray(b"\0\1"))], "dataset string, key string, name string, value binary"), "FIL")
     assert store.blobs.get({"DS_RAW_FILE"}, "ds", "FIL", ["f"]).first().properties == ["a.bin", "2"]
+    seen = store.blobs.files({"DS_RAW_FILE", "ADM"}, "ds").first()
+    assert (seen.name, seen.size, bytes(seen.content)) == ("a.bin", 2, b"\0\1")
+    masked = store.blobs.files({"ADM"}, "ds").first()
+    assert masked.content is None and masked.value == "MASKED_" + hashing.hash_text(b"\0\1") and masked.size == 2
+    assert store.blobs.files({"OTHER"}, "ds").count() == 0
     store.cache.write("ds", "c", spark.createDataFrame([("b",), ("a",), (None,), ("a",)], "v string"))
     assert [r.key for r in store.cache.read("ds", "c").collect()] == ["", "a", "b"] and [r.key for r in store.cache.read("ds", "c", "a", 1).collect()] == ["a"]
     late = F.current_timestamp() + F.expr("interval 4 hours")
