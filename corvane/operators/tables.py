@@ -137,10 +137,10 @@ class Tables:
         self.check("ALTER_TABLE", name)
         if not self.exists(name) or self.exists(to):
             return False
-        own = self.properties(name)
+        own = {"schema": self._schema(name), "like": self._like(name)} | self.properties(name)
         self._move(self.place(name), self.place(to))
         self._delete(f"{self.path}/_properties/{name}")
-        self._set(to, **{"schema": self._schema(name), "like": own.get("like", name)} | own)
+        self._set(to, **own)
         return True
 
     def clone(self, name: str, to: str) -> bool:
@@ -148,10 +148,8 @@ class Tables:
         self.check("CREATE_TABLE")
         if not self.exists(name) or self.exists(to):
             return False
-        own = self.properties(name)
-        rows = self._load(name)
-        rows.write.partitionBy(*self._parts(name)).parquet(self.place(to))
-        self._set(to, **{"schema": self._schema(name), "like": own.get("like", name)} | own)
+        self._load(name).write.partitionBy(*self._parts(name)).parquet(self.place(to))
+        self._set(to, **{"schema": self._schema(name), "like": self._like(name)} | self.properties(name))
         return True
 
     # properties: what a table is like, splits, options
@@ -252,7 +250,7 @@ class Tables:
             place = F.lit(0)
             for point in own["splits"]:
                 place = place + (F.coalesce(order, F.lit("")) > point).cast("int")
-            rows = rows.repartition(len(own["splits"]) + 1, place)
+            rows = rows.repartitionById(len(own["splits"]) + 1, place)
         # sorted files: a lookup reads the row groups whose range holds the term or key
         writer = rows.sortWithinPartitions(*parts, order).write.mode("append").partitionBy(*parts)
         for c in ("term", "term_rev", key) if own.get("bloom") else ():
