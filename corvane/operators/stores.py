@@ -5,6 +5,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 from concurrent.futures import Future, ThreadPoolExecutor
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -146,12 +147,18 @@ class TermStore:
 
 
 def between(low, high) -> Column:
-    """Half-open range predicate on term or term_num, by the class of the bounds."""
+    """Half-open range predicate on term or term_num, by the class of the bounds: texts, numbers or datetimes."""
+    kind = lambda x: "text" if isinstance(x, str) else "time" if isinstance(x, datetime) else "number"
     if low is None and high is None:
         raise ValueError("one bound is needed")
-    if low is not None and high is not None and isinstance(low, str) != isinstance(high, str):
+    if low is not None and high is not None and kind(low) != kind(high):
         raise ValueError("bounds have to be of one class")
     one = low if low is not None else high
+    if kind(one) == "time":
+        out, time = F.col("term_type") == T.DATE, F.try_to_timestamp("term")
+        bound = lambda x: F.lit(x.isoformat() + ("" if x.tzinfo else "Z")).cast("timestamp")
+        out = out & (time >= bound(low)) if low is not None else out
+        return out & (time < bound(high)) if high is not None else out
     if isinstance(one, str):
         if any(T.has_wildcards(x) for x in (low, high) if x):
             raise ValueError("bounds can't have wildcards")
@@ -352,8 +359,8 @@ class DataStore:
         return self.blobs.get(auths, dataset, "JSO", ids, fields, wanted, ordered)
 
     def match_hash(self, dataset: str, field: str, digest: str, auths: set[str] | None = None) -> DataFrame:
-        """doc_id whose field has a value of this hash. Without auths labels are not looked at."""
-        found = self.tables.read("hashes").where((F.col("dataset") == dataset) & (F.col("hash") == digest)).where(T.wildcard(F.col("field"), field) if field != T.compact(field) else F.col("field") == field)
+        """doc_id whose field, a name or wildcard, has a value of this hash. Without auths labels are not looked at."""
+        found = self.tables.read("hashes").where((F.col("dataset") == dataset) & (F.col("hash") == digest)).where(T.wildcard(F.col("field"), field))
         if auths is not None:
             seen = self.tables.read("postings").where((F.col("dataset") == dataset) & (F.col("way") == FORWARD) & visible(F.col("labels"), narrow(auths, dataset)))
             found = found.join(seen.select("doc_id", "field").distinct(), ["doc_id", "field"], "left_semi")
