@@ -103,7 +103,10 @@ def kinds() -> np.ndarray:
     """LETTER (letters, marks, digits), SINGLE, SOLID (no white space), UPPER and LOWER of each code point; made once a process."""
     global _kinds
     if _kinds is None:
-        out = np.fromiter((LETTER * (unicodedata.category(chr(c)) in _LETTERS) for c in range(0x110000)), np.uint8, 0x110000)
+        out = np.full(0x110000, LETTER, np.uint8)
+        # from 0x20000 on there are letters, and tags
+        some = [*range(0x20000), *range(0xE0000, 0xE0200)]
+        out[some] = [LETTER * (unicodedata.category(chr(c)) in _LETTERS) for c in some]
         # joiners stand inside words
         out[[0x200C, 0x200D]] = LETTER
         out[:128] = 0

@@ -45,7 +45,9 @@ def classes() -> np.ndarray:
     global _classes
     if _classes is None:
         kind = {"L": LETTER, "N": NUMBER}
-        out = np.fromiter((kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x110000)), np.uint8, 0x110000)
+        out = np.full(0x110000, OTHER, np.uint8)
+        # beyond there are neither letters nor numbers
+        out[:0x40000] = [kind.get(unicodedata.category(chr(c))[0], OTHER) for c in range(0x40000)]
         out[_SPACES] = WHITE
         out[32] = SPACE
         _classes = out

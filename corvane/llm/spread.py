@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 
 from pyspark.sql import DataFrame
@@ -28,6 +29,14 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def trim() -> None:
+    """Give the memory of arrays that are gone back to the system, where its allocator can."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass
+
+
 def fresh_names(df: DataFrame, *names: str) -> list[str]:
     """The names, with as many underscores as keep them apart from the columns of df."""
     taken = {c.lower() for c in df.columns}
