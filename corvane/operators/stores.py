@@ -239,14 +239,18 @@ class DataStore:
 
     def destroy(self) -> None:
         for name in SCHEMAS:
-            self.tables.delete(name)
+            self.tables.check("DROP_TABLE", "blobs" if name in ("ids", "stale") else name)
+        for name in SCHEMAS:
+            self.tables._delete(self.tables.place(name))
+            self.tables._delete(f"{self.tables.path}/_properties/{name}")
         self.tables._delete(f"{self.tables.path}/_log")
 
     def truncate(self) -> None:
         """No rows, but the tables and what is set for them stay."""
         there = [n for n in SCHEMAS if self.tables.exists(n)]
         for name in there:
-            self.tables.check("WRITE", name)
+            self.tables.check("WRITE", "blobs" if name in ("ids", "stale") else name)
+        for name in there:
             self.tables._delete(self.tables.place(name))
             self.tables.spark.createDataFrame([], SCHEMAS[name]).write.parquet(self.tables.place(name))
 
@@ -255,8 +259,9 @@ class DataStore:
 
         Documents of the same id are replaced: of several in raw the last counts, by the column ``order`` if one is
         named, else as they stand. What is written and read depends on raw and the documents that it replaces, not
-        on the size of the dataset, but for the keys of its documents. Other kinds of blobs and terms put by hand
-        stay. Rows with a null dataset or id are left out; json that is none is stored and not indexed."""
+        on the size of the dataset, but for the ids of its documents. Other kinds of blobs and terms put by hand
+        stay. Counts of documents that were written without postings are not taken back. Rows with a null dataset or
+        id are left out; json that is none is stored and not indexed."""
         if wrong := set(sinks) - set(SINKS):
             raise ValueError(f"unknown sinks {sorted(wrong)}")
         for name in sinks:
@@ -283,6 +288,7 @@ class DataStore:
             t.append("hashes", stamp(built.hashes))
         if "blobs" in sinks:
             t.append("blobs", stamp(built.blobs))
+        t._write("ids", stamp(staged.select("dataset", "doc_id")), t.place("ids"))
         if replaced is not None and {"postings", "hashes"} & set(sinks):
             t._write("stale", stamp(replaced), t.place("stale"))
         t.done(version)
@@ -291,16 +297,11 @@ class DataStore:
         return version
 
     def _replaced(self, staged: DataFrame, beside: str) -> DataFrame | None:
-        """(dataset, doc_id) of staged documents that are indexed already, or None if there is none."""
-        found = None
-        for name, ids in (("blobs", F.col("key")), ("hashes", F.col("doc_id")), ("postings", F.col("doc_id"))):
-            if self.tables.exists(name):
-                known = self.tables._load(name).where(F.col("version").isNotNull() if name != "blobs" else F.col("kind") == "JSO").select("dataset", ids.alias("doc_id"))
-                known = staged.select("dataset", "doc_id").join(known, ["dataset", "doc_id"], "left_semi")
-                found = known if found is None else found.union(known)
-        if found is None:
+        """(dataset, doc_id) of staged documents that are there already, or None if there is none."""
+        if not self.tables.exists("ids"):
             return None
-        found.distinct().write.parquet(f"{beside}_ids")
+        known = staged.select("dataset", "doc_id").join(self.tables._load("ids"), ["dataset", "doc_id"], "left_semi")
+        known.write.parquet(f"{beside}_ids")
         ids = self.tables.spark.read.schema("dataset string, doc_id string").parquet(f"{beside}_ids")
         return None if ids.isEmpty() else ids
 
@@ -326,14 +327,17 @@ class DataStore:
         for name in SCHEMAS:
             if not t.exists(name) or name == "stale":
                 continue
-            t.check("ALTER_TABLE", name)
-            rows = t._current(name)
+            t.check("ALTER_TABLE", "blobs" if name == "ids" else name)
+            rows = t._load(name) if name == "ids" else t._current(name)
             if name == "blobs":
                 whole = ix.latest(rows.where("kind <> 'ARR'"), ["dataset", "kind", "key"], ["version"])
                 rows = whole.unionByName(rows.where("kind = 'ARR'"))
             elif name == "counts":
                 rows = rows.groupBy("dataset", "way", "field", "term_type", "term", "term_rev", "term_num", F.array_sort("labels").alias("labels")).agg(F.sum("n_docs").alias("n_docs"), F.max("version").alias("version")).where("n_docs > 0")
-            t._swap(name, rows, rebalanced=True)
+            elif name == "ids":
+                rows = rows.groupBy("dataset", "doc_id").agg(F.max("version").alias("version"))
+            # as many files as the data make, of even sizes, whatever each dataset's share is
+            t._swap(name, rows.hint("rebalance", *t._parts(name)))
         t._delete(t.place("stale"))
         for entry in t._list(f"{t.path}/_log"):
             if not entry.startswith(f"{latest:012d}"):
@@ -342,7 +346,10 @@ class DataStore:
 
     def remove(self, dataset: str) -> None:
         for name in SCHEMAS:
-            self.tables.remove_dataset(name, dataset)
+            if name in ("ids", "stale"):
+                self.tables._delete(f"{self.tables.place(name)}/{self.tables._folder(dataset)}")
+            else:
+                self.tables.remove_dataset(name, dataset)
 
     def planner(self, auths: set[str], dataset: str, tokenize: bool = False) -> Planner:
         return Planner(self.tables.read("postings"), self.tables.read("counts"), dataset, auths, T.query_tokens if tokenize else None)

@@ -1,9 +1,9 @@
 """Tables of a store: folders of Parquet that are partitioned by dataset and sorted by what is looked up.
 
 Writes append; nothing is overwritten in place. Every write has a version; a log says which versions are
-complete, and rows of a write that failed are never read. Rows of a document that was replaced are named in the
-table ``stale``, so that replacing documents costs what they cost, not what the dataset does. ``rewrite`` and
-``compact`` make a table anew beside the old one and put it in its place by renaming."""
+complete, and rows of a write that failed are never read. The table ``ids`` has the documents there are, ``stale`` those
+that were replaced since, so that replacing documents costs what they cost, not what the dataset does. ``rewrite`` makes
+the folder of a dataset anew beside the old one and puts it in its place by renaming, ``compact`` all of a table."""
 
 from __future__ import annotations
 
@@ -20,13 +20,14 @@ SCHEMAS = {
     "postings": "dataset string, way string, doc_id string, field string, term_type tinyint, term string, term_rev string, term_num decimal(38,18), labels array<string>, n bigint, version bigint",
     "counts": "dataset string, way string, field string, term_type tinyint, term string, term_rev string, term_num decimal(38,18), labels array<string>, n_docs bigint, version bigint",
     "hashes": "dataset string, field string, hash string, doc_id string, version bigint",
+    "ids": "dataset string, doc_id string, version bigint",
     "stale": "dataset string, doc_id string, version bigint",
     "cache": "dataset string, cache_id string, key string, value string, ts timestamp",
 }
 #: Folders within a table: a reader of one kind of blobs, or of one direction of terms, opens its files alone.
 PARTS = {"blobs": ["dataset", "kind"], "postings": ["dataset", "way"], "counts": ["dataset", "way"]}
 #: What the rows of a table are looked up by, and what its row-range operations mean by a row.
-KEYS = {"blobs": "key", "postings": "term", "counts": "term", "hashes": "hash", "stale": "doc_id", "cache": "key"}
+KEYS = {"blobs": "key", "postings": "term", "counts": "term", "hashes": "hash", "ids": "doc_id", "stale": "doc_id", "cache": "key"}
 #: What a family of columns is in each table.
 FAMILIES = {"blobs": "kind", "postings": "field", "counts": "field", "hashes": "field", "cache": "cache_id"}
 FORWARD, BACKWARD = "f", "b"
@@ -257,18 +258,30 @@ class Tables:
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.parquet(path)
 
-    def _swap(self, name: str, rows: DataFrame, rebalanced: bool = False) -> None:
-        """Put rows in the place of a table. If the job fails the table is as it was; if the driver ends between the two
-        renames the old table is in the folder with the name ``_old``."""
+    def _folder(self, dataset: str) -> str:
+        return "dataset=" + self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(dataset)
+
+    def _there(self, path: str) -> bool:
+        fs, where = self._fs(path)
+        return fs.exists(where)
+
+    def _swap(self, name: str, rows: DataFrame, dataset: str | None = None) -> None:
+        """Put rows in the place of a table or of a dataset's part of it. If the job fails all is as it was; if the driver
+        ends between the two renames, what was there is in the folder with the name ``_old``."""
         new, old = self.beside(name), self.beside(f"{name}_old")
-        if rebalanced:
-            # as many files as the data make, of even sizes, whatever each dataset's share is
-            rows = rows.hint("rebalance", *self._parts(name))
         self._write(name, rows, new)
-        if not self._fs(new)[0].exists(self._fs(new)[1]):
-            self.spark.createDataFrame([], self._schema(name)).write.parquet(new)
-        self._move(self.place(name), old)
-        self._move(new, self.place(name))
+        if dataset is None:
+            if not self._there(new):
+                self.spark.createDataFrame([], self._schema(name)).write.parquet(new)
+            self._move(self.place(name), old)
+            self._move(new, self.place(name))
+        else:
+            own = self._folder(dataset)
+            if self._there(f"{self.place(name)}/{own}"):
+                self._move(f"{self.place(name)}/{own}", old)
+            if self._there(f"{new}/{own}"):
+                self._move(f"{new}/{own}", f"{self.place(name)}/{own}")
+            self._delete(new)
         self._delete(old)
 
     # removal
@@ -276,17 +289,17 @@ class Tables:
     def remove_dataset(self, name: str, dataset: str) -> None:
         """Drop the folder of a dataset."""
         self.check("WRITE", name)
-        escaped = self.spark._jvm.org.apache.spark.sql.catalyst.catalog.ExternalCatalogUtils.escapePathName(dataset)
-        self._delete(f"{self.place(name)}/dataset={escaped}")
+        self._delete(f"{self.place(name)}/{self._folder(dataset)}")
 
     def rewrite(self, name: str, dataset: str | None, keep: Column) -> None:
         """Keep the rows of a dataset (or of all) that meet a condition; a null condition doesn't keep a row."""
         self.check("WRITE", name)
         if not self.exists(name):
             return
-        rows = self._load(name)
-        keep = F.coalesce(keep, F.lit(False))
-        self._swap(name, rows.where(keep if dataset is None else keep | (F.col("dataset") != dataset)))
+        rows = self._load(name).where(F.coalesce(keep, F.lit(False)))
+        if dataset is not None and self._parts(name)[:1] != ["dataset"]:
+            raise ValueError(f"{name} has no datasets")
+        self._swap(name, rows if dataset is None else rows.where(F.col("dataset") == dataset), dataset)
 
     def remove_families(self, name: str, families: list[str], dataset: str | None = None) -> None:
         """Without rows of some families: kinds of blobs, fields of terms and hashes, ids of caches."""

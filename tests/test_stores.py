@@ -159,6 +159,20 @@ def test_row_operations(spark, store):
     store.tables.delete_rows("hashes", "a")
 
 
+def test_a_rewrite_touches_its_dataset_alone(spark, store):
+    for name in ("d", "e/f g"):
+        store.blobs.put(spark.createDataFrame([(name, str(i), "v") for i in range(5)], VALUE), "STR")
+    own = lambda n: sorted(glob.glob(f"{store.tables.path}/blobs/dataset={n}*/**/*.parquet", recursive=True))
+    before = own("d")
+    store.tables.delete_rows("blobs", "1", "3", "e/f g")
+    assert own("d") == before and {r.key for r in store.blobs.strings({"E_F_G_RAW_DATA"}, "e/f g").collect()} == {"0", "1", "4"}
+    store.tables.delete_rows("blobs", dataset="e/f g")
+    assert own("d") == before and store.tables.read("blobs").count() == 5 and not glob.glob(f"{store.tables.path}/_blobs*")
+    jobs.sink(store.tables, "own", spark.createDataFrame([("x", 1)], "a string, b int"))
+    with pytest.raises(ValueError):
+        store.tables.rewrite("own", "d", F.lit(True))
+
+
 def test_tables(spark, store):
     t = store.tables
     assert t.create("blobs") and not t.create("blobs") and t.all() == ["blobs"] and t.read("blobs").count() == 0
