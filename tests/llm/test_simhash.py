@@ -1,4 +1,5 @@
 import random
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +33,31 @@ def brute(rows, k=simhash.K):
     return {(d, least[root(i)]) for i, (d, _) in enumerate(rows) if size[i]}
 
 
+def slow_fingerprint(text):
+    """(code, size) bit by bit, each word hashed by itself."""
+    words = {}
+    for w in re.findall(r"[^\W_]+", "".join(c if len(c.encode()) < 3 else " " for c in text.lower())):
+        data, offsets = utf8(pa.array([w]))
+        words[w] = int(simhash.Words(data, offsets).hashes(data)[0])
+    total, sums = 0, [0] * 128
+    for w, h in words.items():
+        weight = min(4, max(1, (len(w.encode()) + 1) // 3))
+        total += weight
+        both = h.to_bytes(8, "little") + int(simhash.mix(np.array([h], np.uint64) + U64(77))[0]).to_bytes(8, "little")
+        for bit in range(128):
+            sums[bit] += weight * (both[bit // 8] >> (7 - bit % 8) & 1)
+    return [int(2 * s > total) for s in sums], total
+
+
+def test_fingerprints_equal_bit_by_bit(spark):
+    texts = [r.text for r in spark.read.parquet(DOCS).limit(25).collect()] + ["one", "Éa éA x x x", " ".join(f"w{i}" for i in range(500))]
+    texts = ["".join(c for c in t if ord(c) < 0x250) for t in texts]
+    code, size = simhash.fingerprints(*utf8(pa.array(texts)))
+    for i, t in enumerate(texts):
+        bits, total = slow_fingerprint(t)
+        assert np.unpackbits(code[i]).tolist() == bits and size[i] == total
+
+
 def test_equals_brute_force(spark):
     docs = spark.read.parquet(DOCS)
     got = {(r.doc_id, r.group_id) for r in simhash.groups(docs).collect()}
