@@ -304,11 +304,11 @@ class Encoder:
         self.known, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.pool = np.zeros(0, np.int32)
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids, first id of each text and the total, byte end of each id in its text)."""
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, first id of each text and the total)."""
         start = slices(data, offsets)
         if not len(start):
-            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64), np.zeros(0, np.int32)
+            return np.zeros(0, np.int32), np.zeros(len(offsets), np.int64)
         end = np.append(start[1:], len(data))
         key = Rolling(_BYTE[data]).ranges(start, end)
         order = np.argsort(key)
@@ -332,12 +332,16 @@ class Encoder:
         count = self.count[at][which]
         ids = self.pool[spread(self.begin[at][which], count)]
         first = np.append(0, np.cumsum(count))[np.searchsorted(start, offsets)]
+        return ids, first
+
+    def ends(self, ids: np.ndarray, first: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Byte end of each id in its text."""
         ends = np.cumsum(self.vocabulary.length[ids])
-        return ids, first, (ends - np.repeat(offsets[:-1], np.diff(first))).astype(np.int32)
+        return (ends - np.repeat(offsets[:-1], np.diff(first))).astype(np.int32)
 
-    def encode_checked(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def encode_checked(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """As ``encode``, and whether decoding gives each text again."""
-        ids, first, ends = self.encode(data, offsets)
+        ids, first = self.encode(data, offsets)
         same = self._same(ids, first, data, offsets)
         if not same.all():  # a collision in the cache
             self._empty()
@@ -347,9 +351,8 @@ class Encoder:
                 start = slices(own, np.array([0, len(own)]))
                 parts.append(self.vocabulary.merge(own, start, np.diff(np.append(start, len(own))))[0])
             ids, first = np.concatenate(parts), np.append(0, np.cumsum([len(p) for p in parts]))
-            ends = (np.cumsum(self.vocabulary.length[ids]) - np.repeat(offsets[:-1], np.diff(first))).astype(np.int32)
             same = self._same(ids, first, data, offsets)
-        return ids, first, ends, same
+        return ids, first, same
 
     def _same(self, ids: np.ndarray, first: np.ndarray, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         back = self.vocabulary.decode(ids)
@@ -374,10 +377,10 @@ def shared_encoder(words: Vocabulary) -> Encoder:
     return _encoders[words.digest]
 
 
-def encode(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
+def encode(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY, ends: bool = True) -> DataFrame:
     """(doc_id, n_tokens, token_ids, token_ends, round_trip), one row for each row of docs.
 
-    token_ends are the byte offsets at which the tokens end in the UTF-8 text;
+    token_ends are the byte offsets at which the tokens end in the UTF-8 text, left out without ``ends``;
     round_trip says that decoding the ids gave the text again. A null text has null
     lists, 0 tokens and round_trip true; an empty text has empty lists. Repeated rows
     are encoded each; null ids stay null; other columns are not looked at."""
@@ -389,13 +392,14 @@ def encode(docs: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
         for batch in batches:
             for piece in pieces(batch):
                 text = piece.column(1)
-                ids, first, ends, same = encoder.encode_checked(*utf8(text))
+                data, offsets = utf8(text)
+                ids, first, same = encoder.encode_checked(data, offsets)
                 null = text.is_null()
                 bounds = pa.array(first.astype(np.int32), mask=np.append(null.to_numpy(zero_copy_only=False), False))
-                lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (ids, ends)]
-                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(first).astype(np.int32)), *lists, pa.array(same)], ["doc_id", "n_tokens", "token_ids", "token_ends", "round_trip"])
+                lists = [pa.ListArray.from_arrays(bounds, pa.array(x)) for x in ([ids, encoder.ends(ids, first, offsets)] if ends else [ids])]
+                yield pa.RecordBatch.from_arrays([piece.column(0), pa.array(np.diff(first).astype(np.int32)), *lists, pa.array(same)], ["doc_id", "n_tokens", "token_ids", *["token_ends"] * ends, "round_trip"])
 
-    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, "doc_id long, n_tokens int, token_ids array<int>, token_ends array<int>, round_trip boolean")
+    return docs.select(docs["doc_id"].cast("long"), docs["text"]).mapInArrow(run, f"doc_id long, n_tokens int, token_ids array<int>, {'token_ends array<int>, ' * ends}round_trip boolean")
 
 
 def decode(tokens: DataFrame, vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:

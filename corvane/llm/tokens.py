@@ -78,7 +78,7 @@ def output(docs: DataFrame, vocabulary: str = bpe.DEFAULT_VOCABULARY, path: str
     spark = docs.sparkSession
     path = path or folder(spark)
     ranged = by_id(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]))
-    write(bpe.encode(ranged, vocabulary).select("doc_id", "n_tokens", "token_ids", *["token_ends"] * ends), path, ordered=True)
+    write(bpe.encode(ranged, vocabulary, ends).select("doc_id", "n_tokens", "token_ids", *["token_ends"] * ends), path, ordered=True)
     return read(spark, path)
 
 
