@@ -51,11 +51,16 @@ def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[
                 first = i
 
 
-def reduced(rows: DataFrame, keys: list[str], reducer: Reducer, schema: str, combiner: list[Column] | None = None) -> DataFrame:
+def reduced(rows: DataFrame, keys: list[str], reducer: Reducer, schema: str, combiner: list[Column] | None = None, salts: int = 1) -> DataFrame:
     """What a reducer makes of each key. With a combiner, aggregates named as the columns that the reducer reads, it has one
-    row a key and partition to read at most."""
+    row a key to read. With ``salts`` every key is so many tasks' work at first, and what they make of it is reduced once
+    more: for reducers that can read what they return."""
     if combiner:
         rows = rows.groupBy(*keys).agg(*combiner)
+    if salts > 1:
+        salted = rows.withColumn("_salt", F.monotonically_increasing_id() % salts)
+        first = reduced(salted, [*keys, "_salt"], lambda key, batches: reducer(key[:-1], (b.drop_columns(["_salt"]) for b in batches)), schema)
+        return reduced(first, keys, reducer, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = _runs(batches, keys)

@@ -11,16 +11,22 @@ from pyspark.sql import functions as F
 from corvane.functions import jsonops
 from corvane.functions import text as T
 from corvane.operators import index as ix
+from corvane.operators.shared import folder
 
 
 def indexed(rows: DataFrame, by: list[str], name: str = "index") -> DataFrame:
-    """Rows with their running number from 0 in an order. Partitions are ranges of the order and number their own
-    rows; only the sizes of the partitions meet in one place."""
-    ranged = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id())
-    own = Window.partitionBy("_part").orderBy(*by)
+    """Rows with their running number from 0 in an order; rows that tie are numbered in any order.
+
+    Ranges of the order are written to the shared folder when this is called, so that the number of a range is the
+    same whenever it is read; each then numbers its own rows, and only the sizes of the ranges meet in one place."""
+    spark = rows.sparkSession
+    place = folder(spark, "indexed")
+    rows.repartitionByRange(*by).withColumn("_part", F.spark_partition_id()).write.parquet(place)
+    ranged = spark.read.parquet(place)
     sizes = ranged.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.select("_part", (F.sum("_size").over(Window.orderBy("_part")) - F.col("_size")).alias("_before"))
-    return ranged.withColumn(name, F.row_number().over(own)).join(F.broadcast(before), "_part").withColumn(name, F.col(name) - 1 + F.col("_before")).drop("_part", "_before")
+    numbered = ranged.withColumn(name, F.row_number().over(Window.partitionBy("_part").orderBy(*by)))
+    return numbered.join(F.broadcast(before), "_part").withColumn(name, F.col(name) - 1 + F.col("_before")).drop("_part", "_before")
 
 
 def first(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -303,6 +303,8 @@ def test_jobs(spark, store):
         assert got == {("WORD", 9, 9), ("W0", 3, 3), ("W1", 3, 3), ("W2", 3, 3)}
         one = {tuple(r) for r in jobs.reduced(mapped, ["term"], count, "term string, rows long, n long", [F.sum("n").alias("n")]).collect()}
         assert one == {("WORD", 1, 9), ("W0", 1, 3), ("W1", 1, 3), ("W2", 1, 3)}
+        summed = lambda key, batches: pa.RecordBatch.from_pydict({"term": [key[0]], "n": [sum(sum(b.column("n").to_pylist()) for b in batches)]})
+        assert {tuple(r) for r in jobs.reduced(mapped, ["term"], summed, "term string, n long", salts=3).collect()} == {("WORD", 9), ("W0", 3), ("W1", 3), ("W2", 3)}
         lazy = lambda key, batches: pa.RecordBatch.from_pydict({"term": [key[0]]})
         assert jobs.reduced(mapped, ["term"], lazy, "term string").count() == 4
         assert jobs.reduced(mapped.limit(0), ["term"], count, "term string, rows long, n long").count() == 0
