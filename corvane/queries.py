@@ -467,6 +467,45 @@ with v as (select doc_id::bigint as doc_id, {_B64} as a, lang from documents)
 select doc_id, 'b' as field, lower(lang) as term from v
 union all select doc_id, 'a', unnest(regexp_extract_all(lower(a), '[\p{{L}}\p{{N}}]+')) from v where not (regexp_full_match(a, '[A-Za-z0-9+/]{{16,}}={{0,2}}') and regexp_matches(a, '[0-9]') and regexp_matches(a, '[A-Z]') and regexp_matches(a, '[a-z]'))""")
 _add("underscore_skip", lambda s, d: ix.values(_as_json(s, d, F.col("lang").alias("_a"), F.struct(F.col("lang").alias("_c"), F.col("source").alias("d")).alias("b"), F.lit(None).cast("string").alias("e"), F.array("lang", "source").alias("f"))).select(F.col("doc_id").cast("bigint").alias("doc_id"), "field", "text"), "select doc_id::bigint as doc_id, 'b¤d' as field, source as text from documents union all select doc_id::bigint, 'f[*]', lang from documents union all select doc_id::bigint, 'f[*]', source from documents")
+_text("bool_rewritten", "NOT(NOT the AND NOT der) AND with", f"({_A.format('the')} union {_A.format('der')}) intersect {_A.format('with')}")
+_text("both_wildcards", "*h* OR und", f"{_A.format('und')} union {_A.format('und')}")
+_text("synonyms_find_nothing", "~the OR und", f"{_A.format('und')} union {_A.format('und')}")
+_text("stop_at_punctuation", "+the -in und", f"({_B.format('the')} except {_A.format('in')}) intersect {_A.format('und')}")
+_add("store_terms_docs", lambda s, d: _term_store(s, d).terms.terms(_ADM, "docs", "src*", ["sou*"], docs=_read(s, d, "labels").where("quality = 1").select("doc_id")).select(F.col("doc_id").cast("bigint").alias("doc_id"), "term", "n"), "select doc_id::bigint as doc_id, source as term, 1::bigint as n from documents where source like 'src%' and doc_id in (select doc_id from labels where quality = 1)")
+_add("row_visibility_null", lambda s, d: _read(s, d, "documents").where(security.visible(F.when(F.col("lang") != "en", F.array(F.concat(F.lit("DOCS_"), F.upper("source")))), {"DOCS_SRC1"})).select("doc_id"), "select doc_id from documents where lang is null or lang = 'en' or source = 'src1'")
+_add("control_characters", lambda s, d: _read(s, d, "documents").select("doc_id", F.concat(F.lit('{"a":"'), "source", F.lit("\x07"), "lang", F.lit('","b":1}')).alias("v")).select("doc_id", F.get_json_object(jsonops.project(F.col("v"), ["a"]), "$.a").alias("a")), "select doc_id, source || chr(7) || lang as a from documents")
+_add("json_not_json", lambda s, d: _read(s, d, "documents").select("doc_id", F.md5(jsonops.mask(F.col("text"), "d", {"ADM"})).alias("md5")), "select doc_id, md5(text) as md5 from documents")
+
+
+def hash_file(s: SparkSession, d: str) -> DataFrame:
+    """Hashes of one field that is kept, written as a file and read again."""
+    store, out = _fresh(s, "hashes"), shared.folder(s, "hash-file")
+    store.persist(_nation_lines(s, d).select(F.lit("n").alias("dataset"), F.get_json_object("value", "$.n_nationkey").alias("doc_id"), F.col("value").alias("json")), keep=F.col("path") == "n_regionkey")
+    files.hash_file(store.tables.read("hashes"), out)
+    return s.read.schema("dataset string, field string, hash string, doc_id bigint").option("sep", "\t").csv(out)
+
+
+_add("hash_file", hash_file, "select 'n' as dataset, 'n_regionkey' as field, " + _masked("n_regionkey::varchar", [str(i) for i in range(10)]).replace(jsonops.MASK, "") + " as hash, n_nationkey::bigint as doc_id from nation")
+
+
+def normal_index(s: SparkSession, d: str) -> DataFrame:
+    """An index whose tokenizer leaves values whole, in lower case and without accents."""
+    store = _fresh(s, "normal")
+    store.persist(_read(s, d, "nation").select(F.lit("n").alias("dataset"), F.col("n_nationkey").cast("string").alias("doc_id"), F.to_json(F.struct(F.concat(F.col("n_name"), F.lit(" Été")).alias("name"))).alias("json")), tokenizer=T.normal_terms)
+    return _terms_of(store)
+
+
+_add("normal_index", normal_index, "select n_nationkey::bigint as doc_id, 'name' as field, lower(n_name) || ' ete' as term, 1::bigint as n from nation")
+
+
+def cache_hashed(s: SparkSession, d: str) -> DataFrame:
+    store = _fresh(s, "hashed-cache")
+    later = store.cache.write("ds", "h", _read(s, d, "customer").select("c_mktsegment"), hashed=True, delegate_after=2)
+    later.result()
+    return store.cache.read("ds", "h")
+
+
+_add("store_cache_hashed", cache_hashed, "select distinct " + _masked("c_mktsegment", _SEGMENTS).replace(jsonops.MASK, "") + " as key, c_mktsegment as value from customer")
 
 
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
