@@ -20,7 +20,8 @@ hierarchy that is joined with itself from the top: differences accumulate level
 level, and a pair of nodes beyond the bound is dropped with all codes below it, as is
 one whose codes are all known to be connected. What is left is compared over all 128
 bits. Cells report a spanning forest, not all pairs, so a group of thousands of copies
-costs as many rows as it has members.
+costs as many rows as it has members. Heads are counted first: the codes of one that has
+more than a task should hold are dealt out to parts, and a cell is a pair of parts.
 """
 
 from __future__ import annotations
@@ -41,7 +42,7 @@ K = 20
 LEAST_TENTHS = 7
 BYTES = 16
 HEAD_BITS, MOST_HEAD_BITS = 3, 16
-#: Codes per head from which on heads get longer.
+#: Codes per head from which on heads get longer, and codes of one head have parts.
 CELL_CODES = 1 << 18
 #: Rows of 8 bytes that may be broadcast.
 BROADCAST_ROWS = 1_000_000
@@ -325,31 +326,60 @@ def cell_edges(codes: np.ndarray, size: np.ndarray, side: np.ndarray, start: int
     return child, forest.up[child]
 
 
-_CELLS = "cell long, side byte, node long, hi long, lo long, size long"
+_CELLS = "cell long, tile long, side byte, node long, hi long, lo long, size long"
 
 
-def near_edges(nodes: DataFrame, k: int = K, head_bits: int = HEAD_BITS) -> DataFrame:
+def head_counts(nodes: DataFrame, head_bits: int) -> np.ndarray:
+    """Number of nodes of each head of each rotation: 16 x 2 ** head_bits."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros((BYTES, 1 << head_bits), np.int64)
+        for batch in batches:
+            codes = np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()], axis=1).view(np.uint64)
+            for start in range(BYTES):
+                out[start] += np.bincount((rotated(codes, start) >> U64(64 - head_bits)).astype(np.int64), minlength=1 << head_bits)
+        at = np.flatnonzero(out)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(out.reshape(-1)[at])], ["at", "n"])
+
+    found = nodes.select("hi", "lo").mapInArrow(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BYTES << head_bits, np.int64)
+    out[found.column("at").to_numpy()] = found.column("n").to_numpy()
+    return out.reshape(BYTES, -1)
+
+
+def near_edges(nodes: DataFrame, k: int = K, head_bits: int = HEAD_BITS, cell_codes: int | None = None) -> DataFrame:
     """(src, dst): edges between the ``node`` ids of (node, hi, lo, size), enough of
-    them to connect whatever near pairs connect."""
+    them to connect whatever near pairs connect. Runs a job that counts heads."""
     if not 0 <= k < 128:
         raise ValueError("k has to be from 0 to 127")
     if not 1 <= head_bits <= MOST_HEAD_BITS:
         raise ValueError(f"head_bits has to be from 1 to {MOST_HEAD_BITS}")
     # a rotation whose first byte has no share has no pair
     allowed = [(start, masks(k, start, head_bits)) for start in range(BYTES) if limit(k, start, 8) >= 0]
+    parts = np.maximum(1, -(-head_counts(nodes, head_bits) // (cell_codes or CELL_CODES)))
 
     def to_cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for first in range(0, whole.num_rows, 2000):
                 batch = whole.slice(first, 2000)
                 codes = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1).view(np.uint64)
+                chance = mix(batch.column(0).to_numpy().view(np.uint64) + U64(5))
                 for start, mask in allowed:
-                    head = (rotated(codes, start) >> U64(64 - head_bits)).astype(np.int64)[:, None]
-                    least = np.minimum(head, head ^ mask)
-                    cell = np.int64(start) << 32 | least << 16 | mask
-                    side = np.where(mask == 0, 2, head != least).astype(np.int8)
-                    row = pa.array(np.repeat(np.arange(batch.num_rows), len(mask)))
-                    yield pa.RecordBatch.from_arrays([pa.array(cell.reshape(-1)), pa.array(side.reshape(-1)), *[c.take(row) for c in batch.columns]], ["cell", "side", "node", "hi", "lo", "size"])
+                    head = (rotated(codes, start) >> U64(64 - head_bits)).astype(np.int64)
+                    part = (chance % parts[start][head].astype(np.uint64)).astype(np.int64)
+                    # a row for each mask, and for each part of the other head
+                    row, which = (x.reshape(-1) for x in np.indices((len(head), len(mask))))
+                    others = parts[start][head[row] ^ mask[which]]
+                    row, which, other = np.repeat(row, others), np.repeat(which, others), np.arange(others.sum()) - np.repeat(np.cumsum(others) - others, others)
+                    mine, theirs, own = head[row], head[row] ^ mask[which], part[row]
+                    least = np.minimum(mine, theirs)
+                    same = mask[which] == 0
+                    left = np.where(same, own <= other, mine == least)
+                    tile = np.where(left, own << 32 | other, other << 32 | own)
+                    side = np.where(same & (own == other), 2, ~left).astype(np.int8)
+                    cell = np.int64(start) << 32 | least << 16 | mask[which]
+                    at = pa.array(row)
+                    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(tile), pa.array(side), *[c.take(at) for c in batch.columns]], ["cell", "tile", "side", "node", "hi", "lo", "size"])
 
     def search(key: tuple, table: pa.Table) -> pa.Table:
         codes = np.stack([table.column("hi").to_numpy(), table.column("lo").to_numpy()], axis=1).view(np.uint64)
@@ -359,7 +389,7 @@ def near_edges(nodes: DataFrame, k: int = K, head_bits: int = HEAD_BITS) -> Data
         child, root = cell_edges(codes[order], table.column("size").to_numpy()[order], table.column("side").to_numpy()[order], key[0].as_py() >> 32, k)
         return pa.table({"src": node[order][child], "dst": node[order][root]})
 
-    return nodes.select("node", "hi", "lo", "size").mapInArrow(to_cells, _CELLS).groupBy("cell").applyInArrow(search, "src long, dst long")
+    return nodes.select("node", "hi", "lo", "size").mapInArrow(to_cells, _CELLS).groupBy("cell", "tile").applyInArrow(search, "src long, dst long")
 
 
 def heads(codes: int) -> int:

@@ -100,8 +100,8 @@ def test_rotation_is_a_ring_of_bytes():
         assert (np.ascontiguousarray(simhash.rotated(codes, start).byteswap()).view(np.uint8).reshape(-1, 8) == want).all()
 
 
-@pytest.mark.parametrize("head_bits", [3, 6, 10])
-def test_edges_connect_all_near_pairs(spark, head_bits):
+@pytest.mark.parametrize("head_bits, cell_codes", [(3, None), (6, None), (10, None), (3, 7), (1, 20)])
+def test_edges_connect_all_near_pairs(spark, head_bits, cell_codes):
     import time
 
     codes = some_codes(head_bits, 60)
@@ -110,8 +110,8 @@ def test_edges_connect_all_near_pairs(spark, head_bits):
     nodes = spark.createDataFrame(rows, "node long, hi long, lo long, size long")
     for k in (3, 20):
         began = time.time()
-        edges = simhash.near_edges(nodes, k, head_bits)
-        assert time.time() - began < 5
+        edges = simhash.near_edges(nodes, k, head_bits, cell_codes)
+        assert time.time() - began < 20
         up = list(range(len(codes)))
 
         def root(i, up=up):
@@ -126,6 +126,15 @@ def test_edges_connect_all_near_pairs(spark, head_bits):
         assert [got.get(i, i) for i in range(len(codes))] == [root(i) for i in range(len(codes))]
 
 
+def test_head_counts(spark):
+    codes = some_codes(9, 30)
+    nodes = spark.createDataFrame([tuple(map(int, c.view(np.int64))) for c in codes], "hi long, lo long").repartition(3)
+    got = simhash.head_counts(nodes, 4)
+    want = [np.bincount((simhash.rotated(codes, start) >> U64(60)).astype(int), minlength=16) for start in range(16)]
+    assert (got == want).all()
+    assert not simhash.head_counts(nodes.limit(0), 3).any()
+
+
 def test_groups_with_longer_heads(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CELL_CODES", 4)
     assert simhash.heads(200) == 6
