@@ -41,8 +41,8 @@ DEPTH = 50
 BYTES = 6
 #: Rows that a task of the sort looks at together.
 ROWS = 40_000
-#: Rows of one anchor that one task sorts; a row takes about 110 bytes.
-HOT_ROWS = 500_000
+#: Rows of one anchor that one task sorts; a row takes about a kilobyte with its windows.
+HOT_ROWS = 100_000
 #: Anchors up to which they are sent to every task.
 BROADCAST_ROWS = 1_000_000
 
