@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _made: dict[str, str] = {}
 
@@ -19,3 +19,22 @@ def folder(spark: SparkSession, name: str) -> str:
         named = _made.setdefault(spark.sparkContext.applicationId, "") or tempfile.mkdtemp(prefix="corvane-")
         _made[spark.sparkContext.applicationId] = named
     return f"{named.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+#: Bytes of a table for each core up to which few files are spread over all cores.
+SMALL_BYTES = 16 << 20
+
+
+def widened(rows: DataFrame) -> DataFrame:
+    """A table as it is read, but a small one of fewer files than cores dealt out to all of them: a file of one row group
+    is one task's work, however much is made of it."""
+    spark = rows.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    files = rows.inputFiles()
+    if not 0 < len(files) < cores:
+        return rows
+    size = 0
+    for f in files:
+        where = spark._jvm.org.apache.hadoop.fs.Path(f)
+        size += where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).getLen()
+    return rows.repartition(cores) if size < cores * SMALL_BYTES else rows

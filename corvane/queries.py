@@ -37,7 +37,7 @@ def _add(name: str, run: Query, sql: str | None) -> None:
 
 
 def _postings(spark: SparkSession, sf: str, fields: tuple[str, ...] = ("text",)) -> DataFrame:
-    return ix.text_postings(_read(spark, sf, "documents"), "doc_id", list(fields))
+    return ix.text_postings(shared.widened(_read(spark, sf, "documents").select("doc_id", *fields)), "doc_id", list(fields))
 
 
 _P = r"with p as (select doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}]+')) as term from documents) "
@@ -103,7 +103,7 @@ _estimate("cardinality_literal", '"the with"', "greatest(<the>, <with>)")
 
 
 def _customers(spark: SparkSession, sf: str) -> DataFrame:
-    c = _read(spark, sf, "customer")
+    c = shared.widened(_read(spark, sf, "customer"))
     return c.select(F.lit("customer").alias("dataset"), F.col("c_custkey").cast("string").alias("doc_id"), F.to_json(F.struct("c_name", "c_nationkey", "c_mktsegment", F.struct(F.col("c_nationkey").alias("key"), F.array("c_mktsegment", F.lit("x")).alias("tags")).alias("more"))).alias("json"))
 
 
@@ -112,7 +112,7 @@ _add("field_hash_filter", lambda s, d: _customers(s, d).where(jsonops.where_fiel
 
 
 def json_flatten(s: SparkSession, d: str) -> DataFrame:
-    talks = _read(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
+    talks = shared.widened(_read(s, d, "conversations")).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
     raw = talks.select(F.lit("talk").alias("dataset"), F.col("conv_id").cast("string").alias("doc_id"), F.to_json(F.struct("turns")).alias("json"))
     flat = jsonops.flat_rows(raw, ["dataset", "doc_id"], "json")
     return flat.select(F.col("doc_id").cast("bigint").alias("conv_id"), T.general_field(F.col("path")).alias("field"), "text")

@@ -404,3 +404,17 @@ def test_hash_files_and_schemas(spark, store, tmp_path):
     files.hash_file(store.tables.read("hashes"), str(tmp_path / "h"))
     assert [tuple(r) for r in spark.read.option("sep", "\t").csv(str(tmp_path / "h")).collect()] == [("d", "a", hashing.hash_text("x"), "1")]
     assert dict(tb.columns_of(tb.SCHEMAS["postings"]))["term_num"] == "decimal(38,18)"
+
+
+def test_small_tables_are_spread_over_the_cores(spark, tmp_path, monkeypatch):
+    from corvane.operators import shared
+
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    rows = spark.read.parquet(str(tmp_path / "one"))
+    cores = spark.sparkContext.defaultParallelism
+    assert shared.widened(rows).rdd.getNumPartitions() == cores and shared.widened(rows).count() == 100
+    assert shared.widened(spark.range(3)).count() == 3
+    monkeypatch.setattr(shared, "SMALL_BYTES", 1)
+    assert shared.widened(rows).rdd.getNumPartitions() == 1
+    spark.range(100).repartition(cores).write.parquet(str(tmp_path / "many"))
+    assert "RoundRobin" not in shared.widened(spark.read.parquet(str(tmp_path / "many")))._jdf.queryExecution().toString()
