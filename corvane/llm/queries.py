@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from corvane.llm.arrowtext import SINGLES, SPACES
 from corvane.llm import bpe, decontam, html, minhash, quality, secrets, simhash, suffixes, tokens, toxicity
+from corvane.llm.arrowtext import SINGLES, SPACES
+from corvane.operators.shared import widened
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return widened(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
