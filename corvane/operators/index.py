@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -14,14 +13,6 @@ from corvane.functions.jsonops import flat_rows
 from corvane.functions.security import ADM, RAW_DATA, label_column, path_labels_column
 
 
-@dataclass
-class Index:
-    blobs: DataFrame
-    postings: DataFrame
-    counts: DataFrame
-    hashes: DataFrame
-
-
 def values(raw: DataFrame, keep: Column | None = None) -> DataFrame:
     """(dataset, doc_id, path, field, text, term_type) of every value that is indexed: not null, no name
     with a leading underscore, and kept by a predicate on path if one is given."""
@@ -72,16 +63,6 @@ def blobs(raw: DataFrame) -> DataFrame:
     return raw.select("dataset", F.col("doc_id").alias("key"), F.lit("JSO").alias("type"), F.lit("JSO").alias("kind"), F.array().cast("array<string>").alias("properties"), labels.alias("labels"), F.col("json").alias("value"), F.current_timestamp().alias("ts"))
 
 
-def build(raw: DataFrame, keep: Column | None = None, tokenizer: Callable[[Column], Column] = T.tokens, distinct: bool = True) -> Index:
-    """From (dataset, doc_id, json); of several rows of a document the last counts, unless they are ``distinct`` already."""
-    raw = raw.select("dataset", F.col("doc_id").cast("string").alias("doc_id"), "json")
-    if distinct:
-        raw = latest(raw.withColumn("_place", F.monotonically_increasing_id()), ["dataset", "doc_id"], ["_place"]).drop("_place")
-    of = values(raw, keep)
-    found = postings(of, tokenizer)
-    return Index(blobs(raw), found, counts(found), hashes(of))
-
-
 def text_postings(table: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """(doc_id, field, term_type, term, n) of text columns of a table; all in built-in functions."""
     pairs = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), T.tokens(F.col(f)).alias("words")) for f in fields])).alias("p")

@@ -274,27 +274,38 @@ class DataStore:
         ix.latest(own.withColumn("_place", F.monotonically_increasing_id()), ["dataset", "doc_id"], ["_by", "_place"]).select("dataset", "doc_id", "json").write.parquet(beside)
         staged = t.spark.read.parquet(beside)
         replaced = self._replaced(staged, beside)
-        built = ix.build(staged, keep, tokenizer, distinct=False)
         stamp = lambda rows: rows.withColumn("version", F.lit(version))
+        self._index(staged, version, beside, keep, tokenizer, sinks, replaced)
+        if "blobs" in sinks:
+            t.append("blobs", stamp(ix.blobs(staged)))
+        t._write("ids", stamp(staged.select("dataset", "doc_id")), t.place("ids"))
+        if replaced is not None and {"postings", "hashes"} & set(sinks):
+            t._write("stale", stamp(replaced), t.place("stale"))
+        t.done(version)
+        for end in ("", "_ids", "_values"):
+            t._delete(f"{beside}{end}")
+        return version
+
+    def _index(self, staged: DataFrame, version: int, beside: str, keep: Column | None, tokenizer: Callable[[Column], Column], sinks: tuple[str, ...], replaced: DataFrame | None) -> None:
+        """Postings, counts and hashes of staged documents. They are taken apart once, and counted from what is written."""
+        if not {"postings", "counts", "hashes"} & set(sinks):
+            return
+        t = self.tables
+        ix.values(staged, keep).write.parquet(f"{beside}_values")
+        of = t.spark.read.parquet(f"{beside}_values")
+        stamp = lambda rows: rows.withColumn("version", F.lit(version))
+        found = ix.postings(of, tokenizer)
         if "postings" in sinks:
-            t.append("postings", stamp(both_ways(built.postings)))
+            t.append("postings", stamp(both_ways(found)))
+            found = t._load("postings", versions=False).where((F.col("version") == version) & (F.col("way") == FORWARD))
         if "counts" in sinks:
-            added = built.counts
+            added = ix.counts(found)
             if replaced is not None:
                 old = t._current("postings").where((F.col("way") == FORWARD) & F.col("version").isNotNull()).join(replaced, ["dataset", "doc_id"], "left_semi")
                 added = added.unionByName(ix.counts(old).withColumn("n_docs", -F.col("n_docs")))
             t.append("counts", stamp(both_ways(added)))
         if "hashes" in sinks:
-            t.append("hashes", stamp(built.hashes))
-        if "blobs" in sinks:
-            t.append("blobs", stamp(built.blobs))
-        t._write("ids", stamp(staged.select("dataset", "doc_id")), t.place("ids"))
-        if replaced is not None and {"postings", "hashes"} & set(sinks):
-            t._write("stale", stamp(replaced), t.place("stale"))
-        t.done(version)
-        t._delete(beside)
-        t._delete(f"{beside}_ids")
-        return version
+            t.append("hashes", stamp(ix.hashes(of)))
 
     def _replaced(self, staged: DataFrame, beside: str) -> DataFrame | None:
         """(dataset, doc_id) of staged documents that are there already, or None if there is none."""
@@ -313,12 +324,11 @@ class DataStore:
         raw.select("dataset", F.col("key").alias("doc_id"), F.col("value").alias("json")).write.parquet(beside)
         for name in ("postings", "counts", "hashes"):
             t.remove_dataset(name, dataset)
-        built = ix.build(t.spark.read.parquet(beside), keep, tokenizer, distinct=False)
         version = t.begin()
-        for name, rows in (("postings", both_ways(built.postings)), ("counts", both_ways(built.counts)), ("hashes", built.hashes)):
-            t.append(name, rows.withColumn("version", F.lit(version)))
+        self._index(t.spark.read.parquet(beside), version, beside, keep, tokenizer, ("postings", "counts", "hashes"), None)
         t.done(version)
-        t._delete(beside)
+        for end in ("", "_values"):
+            t._delete(f"{beside}{end}")
 
     def compact(self) -> None:
         """One current version of every row in files of even sizes; all datasets in one job for each table."""
