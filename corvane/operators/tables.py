@@ -190,10 +190,22 @@ class Tables:
         self.check("ALTER_TABLE", name)
         self._set(name, cache=on)
 
-    def locality_groups(self, name: str) -> list[list[str]]:
-        """Values of the folders within the datasets of a table: what is stored apart."""
+    def tune(self, name: str, **options) -> None:
+        """Options of later writes, as Parquet and Spark name them with underscores for dots: parquet_block_size, compression."""
+        self.check("ALTER_TABLE", name)
+        self._set(name, options=self.properties(name).get("options", {}) | {k.replace("_", "."): str(v) for k, v in options.items()})
+
+    def set_locality_groups(self, name: str, groups: dict[str, list[str]]) -> None:
+        """Later writes keep the rows of each group of families together within their files, so that row groups of other
+        families are passed over."""
+        self.check("ALTER_TABLE", name)
+        self._set(name, groups=groups)
+
+    def locality_groups(self, name: str) -> dict[str, list[str]]:
+        """Families that are stored together: the groups that are set, and the folders within datasets, each by its own name."""
         inner = self._parts(name)[1:]
-        return sorted([list(r) for r in self._load(name).select(*inner).distinct().collect()]) if inner and self.exists(name) else []
+        own = [r[0] for r in self._load(name).select(*inner).distinct().collect()] if inner and self.exists(name) else []
+        return {c: [c] for c in sorted(own)} | self.properties(name).get("groups", {})
 
     # versions
 
@@ -252,8 +264,9 @@ class Tables:
             for point in own["splits"]:
                 place = place + (F.coalesce(order, F.lit("")) > point).cast("int")
             rows = rows.repartitionById(len(own["splits"]) + 1, place)
+        group = [F.coalesce(*[F.when(F.col(FAMILIES[self._like(name)]).isin(f), i) for i, f in enumerate(own["groups"].values())], F.lit(len(own["groups"])))] if own.get("groups") else []
         # sorted files: a lookup reads the row groups whose range holds the term or key
-        writer = rows.sortWithinPartitions(*parts, order).write.mode("append").partitionBy(*parts)
+        writer = rows.sortWithinPartitions(*parts, *group, order).write.mode("append").partitionBy(*parts).options(**own.get("options", {}))
         for c in ("term", "term_rev", key) if own.get("bloom") else ():
             writer = writer.option(f"parquet.bloom.filter.enabled#{c}", "true")
         writer.parquet(path)

@@ -178,7 +178,7 @@ def test_tables(spark, store):
     assert t.create("blobs") and not t.create("blobs") and t.all() == ["blobs"] and t.read("blobs").count() == 0
     store.blobs.put(spark.createDataFrame([("d", "k", "v"), ("e", "k", "w")], VALUE), "STR")
     store.blobs.put(spark.createDataFrame([("d", "k", "v")], VALUE), "ARR")
-    assert t.locality_groups("blobs") == [["ARR"], ["STR"]]
+    assert t.locality_groups("blobs") == {"ARR": ["ARR"], "STR": ["STR"]}
     assert t.clone("blobs", "copy") and not t.clone("blobs", "copy") and not t.clone("none", "x")
     assert t.rename("copy", "other") and not t.rename("copy", "again") and t.all() == ["blobs", "other"]
     t.remove_dataset("other", "d")
@@ -208,6 +208,18 @@ def test_splits_and_options(spark, store):
     spark.catalog.clearCache()
 
 
+def test_groups_of_families_and_writer_options(spark, store):
+    import pyarrow.parquet as pq
+
+    store.tables.set_locality_groups("postings", {"names": ["b", "d"]})
+    store.tables.tune("postings", compression="zstd", parquet_block_size=1 << 20)
+    store.terms.put(spark.createDataFrame([("d", "1", f, t, 1) for t, f in zip("stuvwxyz", "abcdabcd")], TERMS).coalesce(1))
+    [file] = glob.glob(f"{store.tables.path}/postings/dataset=d/way=f/*.parquet")
+    assert pq.ParquetFile(file).read(["field", "term"]).to_pylist() == [{"field": f, "term": t} for f, t in zip("bdbdacac", "tvxzsuwy")]
+    assert pq.ParquetFile(file).metadata.row_group(0).column(0).compression == "ZSTD"
+    assert store.tables.locality_groups("postings") == {"b": ["b"], "f": ["f"], "names": ["b", "d"]}
+
+
 def test_permissions_are_checked(spark, tmp_path):
     path = str(tmp_path / "s")
     open_store = DataStore(spark, path)
