@@ -263,10 +263,16 @@ _add("store_masked_file", lambda s, d: _blob_store(s, d).blobs.files({"ADM"}, "p
 _add("store_arrays", lambda s, d: _blob_store(s, d).blobs.arrays({"LINE_RAW_DATA"}, "line").select(F.col("key").cast("bigint").alias("key"), F.array_join("value", ",").alias("value")), "select l_orderkey::bigint as key, array_to_string(list_sort(list_distinct(flatten(list([l_returnflag, l_linestatus])))), ',') as value from lineitem group by l_orderkey")
 _FLAGS = ["\0".join(sorted(x)) for n in (1, 2, 3, 4, 5) for x in combinations("AFNOR", n)]
 _add("store_masked_array", lambda s, d: _blob_store(s, d).blobs.arrays({"ADM"}, "line").select(F.col("key").cast("bigint").alias("key"), F.array_join("value", ",").alias("value")), "select key, case v " + " ".join(f"when '{f.replace(chr(0), ',')}' then '{jsonops.MASK}{hashing.hash_text(f)}'" for f in _FLAGS) + " end as value from (select l_orderkey::bigint as key, array_to_string(list_sort(list_distinct(flatten(list([l_returnflag, l_linestatus])))), ',') as v from lineitem group by l_orderkey)")
-_add("store_shards", lambda s, d: _blob_store(s, d).tables.read("blobs").where("kind = 'ARR'").groupBy("type").agg(F.count_distinct("key").alias("n")), None)
-_add("array_shard", lambda s, d: _read(s, d, "customer").select("c_custkey", hashing.array_shard(F.col("c_name")).alias("shard")), """
-select c_custkey, 'ARR' || lpad((abs(case when h >= 9223372036854775808::hugeint then h - 18446744073709551616::hugeint else h end) % 100)::varchar, 2, '0') as shard
-from (select c_custkey, list_reduce(list_prepend(1125899906842597::hugeint, list_transform(string_split(c_name, ''), lambda c: unicode(c)::hugeint)), lambda h, u: (31 * h + u) % 18446744073709551616::hugeint) as h from customer)""")
+
+
+def _shard_sql(key: str, table: str) -> str:
+    """(key, shard): the hash wraps at 64 bits, which is done in 128."""
+    return f"""select key, 'ARR' || lpad((abs(case when h >= 9223372036854775808::hugeint then h - 18446744073709551616::hugeint else h end) % 100)::varchar, 2, '0') as shard
+from (select key, list_reduce(list_prepend(1125899906842597::hugeint, list_transform(string_split(key, ''), lambda c: unicode(c)::hugeint)), lambda h, u: (31 * h + u) % 18446744073709551616::hugeint) as h from (select distinct {key}::varchar as key from {table}))"""
+
+
+_add("array_shard", lambda s, d: _read(s, d, "customer").select(F.col("c_name").alias("key"), hashing.array_shard(F.col("c_name")).alias("shard")).distinct(), _shard_sql("c_name", "customer"))
+_add("store_shards", lambda s, d: _blob_store(s, d).tables.read("blobs").where("kind = 'ARR'").groupBy("type").agg(F.count_distinct("key").alias("n")), f"select shard as type, count(*) as n from ({_shard_sql('l_orderkey', 'lineitem')}) group by shard")
 
 
 def _order_store(s: SparkSession, d: str) -> DataStore:
