@@ -101,7 +101,8 @@ def readings(data: np.ndarray, offsets: np.ndarray, signs: bool = False) -> tupl
     n = len(words)
     if not n:
         none, flags = np.zeros(0, np.uint64), np.zeros(0, bool)
-        return words, [Reading(none, none, flags, np.zeros(0, np.int64), words.first, flags) for _ in range(3)]
+        at = np.zeros(0, np.int64)
+        return words, [Reading(none, none, flags, at, words.first, flags, Rolling(none), np.stack([at, at])) for _ in range(3)]
     folded = fold(data)
     own = words.hashes(folded)
     number_of = np.arange(n) - np.repeat(words.first[:-1], words.count)

@@ -182,6 +182,14 @@ def test_random_texts_equal_brute_force(spark, seed):
     assert rows(decontam.leaks(*frames, 6, broadcast_words=0)) == want
 
 
+def test_documents_without_words(spark):
+    docs = spark.createDataFrame([(1, ""), (2, "?! --"), (3, "\n"), (4, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "12 + 7 * 3 = ?"), (2, ""), (3, "?")], "item_id long, text string")
+    for words in (decontam.BROADCAST_WORDS, 0):
+        assert decontam.leaks(docs, items, broadcast_words=words).count() == 0
+        assert decontam.clean(docs, items).count() == 4
+
+
 def test_tables(spark):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     want = brute([(r.doc_id, r.text) for r in docs.collect()], [(r.item_id, r.text) for r in bench.collect()])
