@@ -33,7 +33,8 @@ from corvane.llm.arrowtext import _BYTE, U64, Rolling, arrow_batches, pieces, ut
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 NONE = np.int32(2**31 - 1)
 WIDE = 48
-CACHE_SLICES = 400_000
+#: Slices that a worker remembers, at about 35 bytes each.
+CACHE_SLICES = 1_000_000
 
 OTHER, LETTER, NUMBER, WHITE, SPACE = range(5)
 _SPACES = [*range(9, 14), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]
@@ -301,7 +302,7 @@ class Encoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.known, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.known, self.begin, self.count = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int32)
         self.pool = np.zeros(0, np.int32)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -319,7 +320,7 @@ class Encoder:
         which = np.empty(len(key), np.int64)
         which[order] = np.cumsum(new_key) - 1
         distinct = ordered[new_key]
-        if len(self.known) > CACHE_SLICES:
+        if len(self.known) > CACHE_SLICES or len(self.pool) > 16 * CACHE_SLICES:
             self._empty()
         at = np.searchsorted(self.known, distinct)
         missing = np.ones(len(distinct), bool) if not len(self.known) else self.known[np.minimum(at, len(self.known) - 1)] != distinct
@@ -327,9 +328,9 @@ class Encoder:
             ids, counts = self.vocabulary.merge(data, start[sample[missing]], (end - start)[sample[missing]])
             begin = len(self.pool) + np.cumsum(counts) - counts
             self.pool = np.concatenate([self.pool, ids])
-            self.known, self.begin, self.count = (np.insert(x, at[missing], y) for x, y in ((self.known, distinct[missing]), (self.begin, begin), (self.count, counts)))
+            self.known, self.begin, self.count = (np.insert(x, at[missing], y) for x, y in ((self.known, distinct[missing]), (self.begin, begin), (self.count, counts.astype(np.int32))))
             at = np.searchsorted(self.known, distinct)
-        count = self.count[at][which]
+        count = self.count[at][which].astype(np.int64)
         ids = self.pool[spread(self.begin[at][which], count)]
         first = np.append(0, np.cumsum(count))[np.searchsorted(start, offsets)]
         return ids, first
